@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sedge.session import stored
 
-K, TABLES, HASHES, WIDTH, PROBES, BLOCK, SEED = 5, 4, 6, 1.8, 64, 20_000, 11
+K, TABLES, HASHES, WIDTH, PROBES, BLOCK, SEED = 5, 6, 6, 1.8, 64, 20_000, 11
 
 
 def usable(v: Column) -> Column:
