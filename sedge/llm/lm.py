@@ -15,6 +15,8 @@ documents and sums by document. Blocks and partitions are bounded in size, whate
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,6 +28,15 @@ BACKOFF, BLOCK = 0.4, 4_000_000
 _SPACE = np.array([b in (32, 9, 10, 11, 12, 13) for b in range(256)])
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts, most of them 1, in few bytes."""
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<u4")
+
+
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts in order, number of words of each text)."""
     raw = b"".join(r + b"\n" for r in raws)
@@ -95,7 +106,7 @@ def scores(docs: DataFrame, partitions: int | None = None, block: int = BLOCK, b
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k], pa.int32()), pa.array([part], pa.int64()), pa.array([at], pa.int64()),
-                        pa.array([gram[a:b].tobytes()], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes()], pa.binary()),
+                        pa.array([gram[a:b].tobytes()], pa.binary()), pa.array([_small(count[a:b])], pa.binary()),
                     ],
                     names=["k", "part", "at", "gram", "n"],
                 )
@@ -108,7 +119,7 @@ def scores(docs: DataFrame, partitions: int | None = None, block: int = BLOCK, b
                 if held and held[0][0] != k:
                     yield from _joined(held)
                     held = []
-                held.append((k, part, at, np.frombuffer(g, np.uint64), np.frombuffer(n, "<u4")))
+                held.append((k, part, at, np.frombuffer(g, np.uint64), _counts(n)))
         if held:
             yield from _joined(held)
 
@@ -137,7 +148,7 @@ def scores(docs: DataFrame, partitions: int | None = None, block: int = BLOCK, b
             for i in range(b.num_rows):
                 ids, raws = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 got = b.column(2)[i].as_py() or []
-                counts = np.frombuffer(b"".join(x["n"] for x in got), "<u4").astype(np.float64)
+                counts = np.concatenate([np.zeros(0), *[_counts(x["n"]) for x in got]])
                 yield _summed(ids, raws, counts, corpus, backoff)
 
     return met.mapInArrow(finish, "doc_id long, n_words long, n_seen long, log_score double")
@@ -151,7 +162,7 @@ def _joined(held):
     at = 0
     for k, part, block, g, _ in held:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([n[at : at + len(g)].tobytes()], pa.binary())],
+            [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([_small(n[at : at + len(g)])], pa.binary())],
             names=["part", "at", "k", "n"],
         )
         at += len(g)
