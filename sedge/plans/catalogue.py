@@ -1,4 +1,6 @@
 """All named queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from sedge.plans import relational, textual
+
+QUERIES = relational.QUERIES | textual.QUERIES
+ORACLE_SQL = relational.SQL | textual.SQL
