@@ -40,7 +40,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag in HEADINGS or tag in BLOCKS or tag in ("div", "section", "article", "table"):
+        elif tag in HEADINGS or tag in BLOCKS or tag in ("div", "section", "article", "table", "ul", "ol"):
             self.flush()
 
     def handle_data(self, data):
