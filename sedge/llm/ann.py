@@ -211,7 +211,7 @@ def _best(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
                 out_q.append(q_id[at + r])
                 out_v.append(ids[c])
                 out_s.append(cosines(y[r], x[c]))
-    if not out_q:
+    if not sum(map(len, out_q)):
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     q, v, s = np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
     order = np.lexsort((v, -s, q))
