@@ -15,6 +15,7 @@ posterior and of those sums: no rows are joined, stored or collected for it. All
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -94,28 +95,37 @@ def learned(docs: DataFrame, labels: DataFrame, domains: dict[str, str], labelle
     return base, words, weights
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value made once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _constant(value, kind: str) -> Column:
+    """A literal of any size that is one node of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def posteriors(docs: DataFrame, names: list[str], model: tuple[list, list, list]) -> DataFrame:
     """docs with a column p_<name> for each domain: posteriors of two decimals that add up to 1."""
     base, words, weights = model
-    k_all = range(len(names))
-    d = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    vocabulary = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    d = d.withColumn("__hits", F.transform(F.array_intersect(evidence(F.col("__text")), vocabulary), lambda w: F.array_position(vocabulary, w).cast("int")))
-    for k in k_all:
-        table = F.array(*[F.lit(float(w[k])) for w in weights]).cast("array<double>")
-        d = d.withColumn(f"__s{k}", F.lit(base[k]) + F.aggregate("__hits", F.lit(0.0), _adding(table)))
-    d = d.withColumn("__top", F.greatest(*[F.col(f"__s{k}") for k in k_all]) if len(names) > 1 else F.col("__s0"))
-    total = reduce(lambda a, b: a + b, [F.exp(F.col(f"__s{k}") - F.col("__top")) for k in k_all])
-    d = d.withColumn("__sum", total)
-    for k in k_all[1:]:
-        d = d.withColumn(f"p_{names[k]}", F.floor(100 * F.exp(F.col(f"__s{k}") - F.col("__top")) / F.col("__sum") + 0.5 / len(names)) / 100)
+    vocabulary = _constant(words, "array<string>")
+    tables = _constant([[base[k], *[w[k] for w in weights]] for k in range(len(names))], "array<array<double>>")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.withColumn("__text", text)
+    places = F.transform(F.array_intersect(evidence(F.col("__text")), vocabulary), lambda w: F.array_position(vocabulary, w).cast("int") + 1)
+
+    def score(at):
+        return F.transform(tables, lambda row: F.element_at(row, 1) + F.aggregate(at, F.lit(0.0), lambda total, i: total + F.element_at(row, i)))
+
+    def shares(s):
+        e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+        return _let(e, lambda e: F.transform(e, lambda x: F.floor(100 * x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b) + 0.5 / len(names)) / 100))
+
+    d = d.withColumn("__p", _let(_let(places, score), shares))
+    for k in range(1, len(names)):
+        d = d.withColumn(f"p_{names[k]}", F.element_at("__p", k + 1))
     rest = reduce(lambda a, b: a + b, [F.col(f"p_{x}") for x in names[1:]], F.lit(0.0))
-    d = d.withColumn(f"p_{names[0]}", F.round(1 - rest, 2))
-    return d.drop("__text", "__hits", "__top", "__sum", *[f"__s{k}" for k in k_all])
-
-
-def _adding(table: Column):
-    return lambda total, place: total + F.element_at(table, place)
+    return d.withColumn(f"p_{names[0]}", F.round(1 - rest, 2)).drop("__text", "__p")
 
 
 def tokens(text: Column) -> Column:
@@ -134,16 +144,23 @@ def fitted(cells: DataFrame, names: list[str], targets: dict[str, float], ridge:
     if volume is None:
         volume = max([a / targets[x] for x, a in zip(names, q) if targets[x] > 0], default=1.0)
     want = [volume * targets[x] for x in names]
-    rate, before = F.lit(1.0), None
+
+    def rate(steps: list[list[float]]) -> Column:
+        def step(r, over):
+            pull = reduce(lambda a, b: a + b, [c * F.element_at(over, k + 1) for k, c in enumerate(p)])
+            return F.greatest(F.lit(0.0), (r + F.lit(ridge) - pull) / F.lit(1 + ridge))
+
+        return F.aggregate(_constant(steps, "array<array<double>>"), F.lit(1.0), step)
+
+    steps: list[list[float]] = []
     for _ in range(rounds):
-        got = cells.agg(*[F.sum(F.col("n") * c * rate) for c in p]).first()
+        at = cells.withColumn("rate", rate(steps))
+        got = at.agg(*[F.sum(F.col("n") * c * F.col("rate")) for c in p]).first()
         over = [(float(g) / total - w) / a for g, w, a in zip(got, want, q)]
-        if before and max(abs(a - b) for a, b in zip(over, before)) < SETTLED:
+        if steps and max(abs(a - b) for a, b in zip(over, steps[-1])) < SETTLED:
             break
-        before = over
-        pull = reduce(lambda a, b: a + b, [c * F.lit(x) for c, x in zip(p, over)])
-        rate = F.greatest(F.lit(0.0), (rate + F.lit(ridge) - pull) / F.lit(1 + ridge))
-    return rate
+        steps.append(over)
+    return rate(steps)
 
 
 def rates(
