@@ -172,8 +172,9 @@ def rates(
     ridge: float = RIDGE,
     rounds: int = ROUNDS,
     volume: float | None = 1.0,
+    kept: list[str] | None = None,
 ) -> DataFrame:
-    """docs (doc_id, text, ...) -> row (docs' columns, as a struct), p_<domain>, tokens, rate, copies.
+    """docs (doc_id, text, ...) -> row (docs' columns, or those named in kept, as a struct), p_<domain>, tokens, rate, copies.
 
     targets are parts of volume times all tokens; without a volume, of the least one at which no wanted domain must be
     thinned. copies is the rate rounded up or down by a hash of doc_id and text, so that its mean is the rate: 0 drops a document.
@@ -183,13 +184,15 @@ def rates(
     """
     domains, targets = domains or DOMAINS, targets or TARGETS
     names = list(domains)
-    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*(kept or ["*"])).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = learned(held, labels, domains, labelled, VOCABULARY)
-    scored = posteriors(held, names, model).withColumn("tokens", tokens(F.col("text")))
     columns = [f"p_{x}" for x in names]
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    scored = posteriors(held, names, model).withColumn("tokens", tokens(F.col("text")))
+    scored = stored(scored.select("row", *columns, "tokens", draw.alias("draw")), "scored")  # texts are read once
     cells = stored(scored.groupBy(*columns).agg(F.sum("tokens").alias("n")), "cells")
     rate = fitted(cells, names, targets, ridge, rounds, volume)
-    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    draw = F.col("draw")
     return (
         scored.withColumn("rate", rate)
         .withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))

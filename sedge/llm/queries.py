@@ -39,7 +39,7 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    made = mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    made = mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"), kept=["doc_id"])
     return made.select(F.col("row.doc_id").alias("doc_id"), "p_plain", "p_poor", "p_toxic", "tokens", "rate", "copies")
 
 
