@@ -170,7 +170,7 @@ class Packer:
             w[1] += need
             at += need
             if w[1] == self.size:
-                self.open.remove(w)
+                self.open = [x for x in self.open if x is not w]  # not by value: repeated rows make windows alike
                 self.done.append(w[0])
 
     def close(self) -> list:

@@ -97,6 +97,19 @@ def test_packing(docs, none):
             at += length
         assert at <= 1024 and at & (at - 1) == 0
     assert packing.pack(none).count() == 0
+    again = packing.pack(docs.unionAll(docs).unionAll(docs).coalesce(1))
+    assert again.agg(F.sum("length")).first()[0] == 3 * sum(r.length for r in rows)
+
+
+def test_packing_repeated_rows():
+    p = packing.Packer(8, 2)
+    lengths = [5, 5, 5, 5, 3, 3, 5, 5, 3, 13]
+    for n in lengths:
+        p.add((n, n), np.arange(n, dtype=np.uint32))
+    tail = p.close()
+    assert all(sum(len(x) for *_, x in w) == 8 for w in p.done)
+    got = collections.Counter((doc, int(i)) for w in [*p.done, tail] for doc, _, x in w for i in x)
+    assert got == collections.Counter(((n, n), i) for n in lengths for i in range(n))
 
 
 def test_nearest(spark):
