@@ -163,9 +163,14 @@ def content_key(x: Column, prefix: str = "") -> Column:
 
 
 # What may not reach a log.
-BEARER = r"(?i)Bearer\s+[A-Za-z0-9._~+/=-]+"
-QUERY_SECRET = r"(?i)([?&](?:token|access_token|api_key|key|secret|password)=)[^&\s]+"
-JSON_SECRET = r"(?i)(\"(?:token|password|secret|authorization|otp)\"\s*:\s*)\"[^\"]*\""
+SECRET_KEYS = (
+    "password|passwordHash|currentPassword|newPassword|confirmPassword|otp|otpCode|verificationCode|accessToken|refreshToken|token|apiKey|apiSecret|"
+    "secret|credential|encryptionKey|plaintext|ciphertext|authTag|iv|content|message|messageContent|prompt|rawBody"
+)
+BEARER = r"(?i)(?<![A-Za-z0-9_])Bearer\s+[A-Za-z0-9._~+/=-]+"
+QUERY_SECRET = r"(?i)([?&](?:token|otp|code|password|secret|key|authorization)=)[^&#\s]*"
+JSON_SECRET = rf'(?i)("(?:{SECRET_KEYS})"\s*:\s*)"[^"]*"'
+SECRET_NAME = rf"(?i)^(?:authorization|cookie|set-cookie|{SECRET_KEYS})$"
 
 
 def redacted(x: Column) -> Column:
@@ -173,3 +178,8 @@ def redacted(x: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, BEARER, "Bearer [REDACTED]"), QUERY_SECRET, "$1[REDACTED]"), JSON_SECRET, '$1"[REDACTED]"')
     codes = F.regexp_replace(out, r"(?<![A-Za-z0-9_])[0-9]{6}(?![A-Za-z0-9_])", "[REDACTED]")
     return F.when(out.rlike(r"(?i)(?<![A-Za-z0-9_])(otp|verification code)(?![A-Za-z0-9_])"), codes).otherwise(out)
+
+
+def redacted_values(m: Column) -> Column:
+    """A map of texts without the values of secret keys, and with the others redacted."""
+    return F.transform_values(m, lambda k, v: F.when(k.rlike(SECRET_NAME), "[REDACTED]").otherwise(redacted(v)))

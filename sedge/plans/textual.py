@@ -144,10 +144,11 @@ def secret_counts(s, d):
     return t(s, d, "documents").groupBy("lang").agg(n(r"(?i)(token|secret|password)\s*[=:]").alias("n"), n("[0-9]{6}").alias("codes"))
 
 
-@query("""SELECT conv_id, turn, regexp_replace(text, '(?i)Bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g') AS text FROM conversations WHERE NOT regexp_matches(text, '(?i)(otp|verification code|[?&](token|access_token|api_key|key|secret|password)=|"(token|password|secret|authorization|otp)")')""")
+@query(rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(x, '(?i)\b(?:otp|verification code)\b') THEN regexp_replace(x, '\b[0-9]{{6}}\b', '[REDACTED]', 'g') ELSE x END AS text FROM (
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'),
+'(?i)([?&](?:token|otp|code|password|secret|key|authorization)=)[^&#\s]*', '\1[REDACTED]', 'g'), '(?i)("(?:{T.SECRET_KEYS})"\s*:\s*)"[^"]*"', '\1"[REDACTED]"', 'g') AS x FROM conversations)""")
 def redacted_turns(s, d):
-    c = t(s, d, "conversations").where(~F.col("text").rlike('(?i)(otp|verification code|[?&](token|access_token|api_key|key|secret|password)=|"(token|password|secret|authorization|otp)")'))
-    return c.select("conv_id", "turn", T.redacted(F.col("text")).alias("text"))
+    return t(s, d, "conversations").select("conv_id", "turn", T.redacted(F.col("text")).alias("text"))
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
