@@ -5,13 +5,19 @@ are folded to 12 pitch classes. Over the image of pitch classes by frames, filte
 read from an integral image; each of the 16 filters gives two bits (Gray code), together one packed 32-bit integer for
 each place of a SPAN frames wide window.
 
-Alignment is linear in the fingerprints' length: for each packed integer that occurs in two recordings or more, every
-recording that holds it votes for the offset to the one with the smallest id. An offset with MIN_VOTES votes is checked
-by the share of differing bits over the whole overlap. Pairs that pass are links; classes are their components.
+Alignment. Two packed integers in a row are a key (64 bits); a recording's key stands at its first place there. For two
+recordings, each key of both votes for an offset; the offset with the most votes (ties: the least shift) is taken if
+it has MIN_VOTES, and is a link if at most MAX_ERROR of the bits of the whole overlap differ. Classes are the
+components of all links, exactly: recordings with equal fingerprints meet as one; then ROUNDS rounds, each linear in the keys,
+compare every holder of a key with one leader of it, and classes grow; at last every pair of different classes that still
+shares a key is compared. So a group of copies is never compared in pairs. Recordings of different classes that
+share a key are: their number is not bounded by the input's length where many recordings share a stretch without being alike.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +27,7 @@ from sedge.session import stored
 
 RATE, FRAME, HOP, SPAN = 8000, 256, 64, 16
 MIN_VOTES, MAX_ERROR, MIN_OVERLAP = 4, 0.2, 8
+ROUNDS = 3
 LOWEST, HIGHEST = 28.0, 3520.0
 CHUNK = 1 << 15
 
@@ -101,63 +108,141 @@ def fingerprint(media: bytes | None) -> np.ndarray:
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
-    """media (id, media: binary) -> id, fp: array<int>. Null, empty and short recordings have an empty one."""
+    """media (id, media: binary) -> id, fp: array<int>, digest: 16 bytes of it. Null, empty and short recordings have an empty one."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int32()))], names=["id", "fp"])
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in fps]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int32())), pa.array(digests, pa.binary())], names=["id", "fp", "digest"])
+
+    return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(
+        run, "id long, fp array<int>, digest binary"
+    )
+
+
+def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, its first place) of each two packed integers in a row."""
+    wide = fp.astype(np.int64)
+    found, at = np.unique((wide[:-1] << 32) | (wide[1:] & 0xFFFFFFFF), return_index=True)
+    return found, at.astype(np.int32)
+
+
+def places(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """recordings (id, fp) -> id, key, at."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "key", "at"])
 
-    return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "id long, fp array<int>")
+        for b in batches:
+            for i, fp in zip(b.column(0).to_pylist(), b.column(1)):
+                key, at = keys(fp.values.to_numpy(zero_copy_only=False))
+                held.append((np.full(len(key), i, np.int64), key, at))
+                n += len(key)
+                if n >= rows:
+                    yield batch()
+                    held, n = [], 0
+        if held:
+            yield batch()
+
+    return recordings.select("id", "fp").mapInArrow(run, "id long, key long, at int")
 
 
 def bit_error(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
     """(share of differing bits, length) of the overlap when place i of a lies at place i - offset of b."""
     skip_a, skip_b = F.greatest(offset, F.lit(0)), F.greatest(-offset, F.lit(0))
     n = F.least(F.size(a) - skip_a, F.size(b) - skip_b)
-    wrong = F.aggregate(
-        F.zip_with(F.slice(a, skip_a + 1, n), F.slice(b, skip_b + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x
-    )
+    low = F.lit(0xFFFFFFFF)  # bit_count widens a negative integer to 64 bits
+    differing = F.zip_with(F.slice(a, skip_a + 1, n), F.slice(b, skip_b + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(low)))
+    wrong = F.aggregate(differing, F.lit(0), lambda t, x: t + x)
     return wrong / (32 * n), n
 
 
+def links(met: DataFrame, recordings: DataFrame) -> DataFrame:
+    """met (a, a_at, b, b_at): keys that two recordings hold -> the links id > to, votes, shift (frames), error."""
+    swap = F.col("a") < F.col("b")
+    shift = F.when(swap, F.col("b_at") - F.col("a_at")).otherwise(F.col("a_at") - F.col("b_at"))
+    votes = met.groupBy(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"), shift.alias("shift")).agg(F.count("*").alias("votes"))
+    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("id", "to").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("b"))
+    pairs = (
+        best.select("id", "to", "b.votes", "b.shift")
+        .join(recordings.select("id", F.col("fp").alias("a")), "id")
+        .join(recordings.select(F.col("id").alias("to"), F.col("fp").alias("b")), "to")
+    )
+    error, n = bit_error(F.col("a"), F.col("b"), F.col("shift"))
+    checked = pairs.select("id", "to", "votes", "shift", error.alias("error"), n.alias("n"))
+    return checked.where((F.col("n") >= MIN_OVERLAP) & (F.col("error") <= MAX_ERROR)).drop("n")
+
+
+def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """recordings (id, fp), ids and fingerprints each once -> (links that join the classes; node, root of all linked ones)."""
+    every = places(recordings)
+    common = every.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    shared = stored(every.join(common, "key", "left_semi"), "keys")
+    # Only recordings with a common key can be compared.
+    compared = stored(recordings.join(shared.select("id").distinct(), "id", "left_semi").select("id", "fp"), "compared")
+    found, roots = None, None
+    for r in range(rounds + 1):
+        if roots is None:
+            holders = shared.withColumn("class", F.col("id"))
+        else:
+            of = roots.select(F.col("node").alias("id"), F.col("root").alias("class"))
+            holders = shared.join(of, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        first = F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))
+        leads = (
+            holders.groupBy("key")
+            .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(first.alias("first"), "id", "at", "class")).alias("lead"))
+            .where("lo < hi")
+        )
+        mine = holders.select("key", F.col("id").alias("a"), F.col("at").alias("a_at"), F.col("class").alias("a_class"))
+        if r < rounds:
+            other = leads.select("key", F.col("lead.id").alias("b"), F.col("lead.at").alias("b_at"), F.col("lead.class").alias("b_class"))
+            met = mine.join(other, "key").where("a_class <> b_class")
+        else:  # what is left: classes that share keys and did not link by way of leaders
+            mine = stored(mine.join(leads.select("key"), "key", "left_semi"), "contested")
+            other = mine.select("key", F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.col("a_class").alias("b_class"))
+            met = mine.join(other, "key").where("a > b and a_class <> b_class")
+        new = stored(links(met, compared), "links")
+        found = new if found is None else found.union(new)
+        joins = new.select(F.col("id").alias("a"), F.col("to").alias("b"))
+        if roots is None:
+            roots = stored(components(joins), "classes")
+        elif not new.isEmpty():
+            roots = stored(components(joins.union(roots.where("node <> root").select("node", "root"))), "classes")
+    return found, roots
+
+
 def aligned(media: DataFrame) -> DataFrame:
-    """media (id, media: binary, ...) -> id, n_places, fp (the packed integers), class_id, n_links, match_id, shift, error.
+    """media (id, media: binary, ...) -> id, n_places, fp (the packed integers), class_id, match_id, shift, error.
 
-    One row for each row. match_id is the linked recording with a smaller id with the most votes (ties: the smallest), shift its offset in
-    frames, error the share of differing bits; null without one. class_id is the least id of the recording's component.
-    Null, empty or short recordings have no places and are classes of their own; rows with a null id aren't aligned; of
-    rows that repeat an id one, the least fingerprint, is aligned for all of them; other columns are ignored.
+    One row for each row. class_id is the least id of the recording's class. match_id is the least id of an equal
+    fingerprint or, for that one itself, of the links that joined the classes the one to a smaller id with the most votes (ties:
+    the smallest); shift is its offset in frames, error the share of differing bits; null without one.
+    Recordings of fewer than MIN_OVERLAP places (null, empty, short) are classes of their own; rows with a null id
+    aren't aligned; of rows that repeat an id one, that of the least digest, is aligned for all of them; other columns are ignored.
     """
     prints = stored(fingerprints(media), "prints")
-    one = prints.where("id is not null and size(fp) > 0").groupBy("id").agg(F.min("fp").alias("fp"))
-    one = stored(one, "recordings")
-    places = one.select("id", F.posexplode("fp").alias("at", "key"))
-    # The least recording and its first place of each integer that two recordings hold: partial aggregates.
-    least = places.groupBy("key").agg(F.min(F.struct("id", "at")).alias("low"), F.max("id").alias("high")).where("low.id < high")
-    votes = (
-        places.join(least.select("key", F.col("low.id").alias("to"), F.col("low.at").alias("to_at")), "key")
-        .where("id > to")
-        .groupBy("id", "to", (F.col("at") - F.col("to_at")).alias("shift"))
-        .agg(F.count("*").alias("votes"))
-        .where(F.col("votes") >= MIN_VOTES)
+    long = prints.where((F.col("id").isNotNull()) & (F.size("fp") >= MIN_OVERLAP))
+    one = stored(long.groupBy("id").agg(F.min(F.struct("digest", "fp")).alias("x")).select("id", "x.digest", "x.fp"), "recordings")
+    least = one.groupBy("digest").agg(F.min("id").alias("rec"))
+    named = one.select("id", "digest").join(least, "digest").select("id", "rec")
+    found, roots = linked(one.join(least.select(F.col("rec").alias("id")), "id", "left_semi").select("id", "fp"))
+    match = found.groupBy("id").agg(F.max(F.struct("votes", (-F.col("to")).alias("less"), "to", "shift", "error")).alias("m"))
+    known = (
+        named.join(roots.select(F.col("node").alias("rec"), "root"), "rec", "left")
+        .join(match.select(F.col("id").alias("rec"), "m"), "rec", "left")
+        .select("id", "rec", F.coalesce("root", "rec").alias("class"), "m")
     )
-    best = votes.groupBy("id", "to").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("b")).select("id", "to", "b.votes", "b.shift")
-    pairs = best.join(one.select("id", F.col("fp").alias("a")), "id").join(one.select(F.col("id").alias("to"), F.col("fp").alias("b")), "to")
-    error, n = bit_error(F.col("a"), F.col("b"), F.col("shift"))
-    checked = pairs.select("id", "to", "votes", "shift", error.alias("error"), n.alias("n"))
-    links = stored(checked.where((F.col("n") >= MIN_OVERLAP) & (F.col("error") <= MAX_ERROR)), "links")
-    roots = components(links.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    ends = links.select("id").union(links.select(F.col("to").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    match = links.groupBy("id").agg(F.max(F.struct("votes", (-F.col("to")).alias("less"), "to", "shift", "error")).alias("m"))
-    known = roots.join(ends, roots.node == ends.id).select("id", "root", "n_links").join(match, "id", "left")
+    copy = F.col("rec") < F.col("id")
     return prints.join(known, "id", "left").select(
         "id",
         F.size("fp").cast("long").alias("n_places"),
         "fp",
-        F.coalesce("root", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.col("m.to").alias("match_id"),
-        F.col("m.shift").alias("shift"),
-        F.col("m.error").alias("error"),
+        F.coalesce("class", "id").alias("class_id"),
+        F.when(copy, F.col("rec")).otherwise(F.col("m.to")).alias("match_id"),
+        F.when(copy, F.lit(0)).otherwise(F.col("m.shift")).alias("shift"),
+        F.when(copy, F.lit(0.0)).otherwise(F.col("m.error")).alias("error"),
     )

@@ -154,17 +154,64 @@ def test_pii(docs, none):
 def test_media(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 8000, np.uint8).tobytes(), rng.integers(0, 256, 8000, np.uint8).tobytes()
-    rows = [(1, a), (2, a), (3, a[64 * 20 :]), (4, b), (5, None), (6, b""), (7, b"short"), (None, a), (8, bytes([128]) * 9000), (9, b[:5000] + a[:3000])]
+    rows = [(1, a), (2, a), (3, a[64 * 20 :]), (4, b), (5, None), (6, b""), (7, b"short"), (None, a), (8, bytes([128]) * 9000), (9, b[:5000] + a[:3000]), (10, rng.integers(0, 256, 8000, np.uint8).tobytes())]
     df = spark.createDataFrame(rows, "id long, media binary")
     got = {r.id: r for r in media.aligned(df).collect()}
     assert len(got) == len(rows)
     assert got[2].match_id == 1 and got[2].shift == 0 and got[2].error == 0 and got[3].match_id == 1 and got[3].shift == -20 and got[3].error == 0
-    assert got[1].class_id == got[2].class_id == got[3].class_id == 1 and got[4].class_id == 4 and got[5].n_places == 0
+    assert got[1].class_id == got[2].class_id == got[3].class_id == 1 and got[5].n_places == 0 and got[10].class_id == 10
+    # 9 is most of 4, then the start of 1: over their overlaps it differs from both in less than MAX_ERROR of the bits, so it joins them.
+    assert got[4].class_id == got[9].class_id == 1
     assert media.aligned(df.limit(0)).count() == 0
     fp = media.fingerprint(a)
     assert len(fp) == (8000 - media.FRAME) // media.HOP + 1 - media.SPAN + 1
 
 
+def test_media_links_all(spark):
+    """Classes are the components of all links, found by comparing all pairs."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 256, 6000, np.uint8) for _ in range(6)]
+    sounds = []
+    for i, b in enumerate(base):
+        for k in range(5):
+            x = b.copy()
+            for _ in range(k):  # spoiled stretches; a shift by whole frames; a stretch of another recording
+                at = int(rng.integers(0, 5500))
+                x[at : at + 150] = rng.integers(0, 256, 150)
+            sounds.append(x[64 * int(rng.integers(0, 9)) :])
+            other = base[i ^ 1]
+            sounds.append(np.concatenate([b[:2560], other[2560:4480], rng.integers(0, 256, 640 * k, np.uint8)]))
+    order = rng.permutation(len(sounds))
+    sounds = [sounds[i].tobytes() for i in order] + [sounds[0].tobytes(), bytes([9, 200] * 3000), bytes([9, 200] * 3000)]
+    fps = [media.fingerprint(x) for x in sounds]
+    up = list(range(len(fps)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    n_links = 0
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps[:i]):
+            mine, held = {}, {}
+            for x, first in ((a, mine), (b, held)):
+                for at in range(len(x) - 1):
+                    first.setdefault((x[at], x[at + 1]), at)
+            votes = collections.Counter(mine[k] - held[k] for k in mine if k in held)
+            link = np.array_equal(a, b)
+            if votes:
+                n, _, shift = max((v, -abs(s), s) for s, v in votes.items())
+                x, y = a[max(shift, 0) :], b[max(-shift, 0) :]
+                m = min(len(x), len(y))
+                wrong = np.bitwise_count((x[:m] ^ y[:m]).view(np.uint32)).sum() / (32 * m)
+                link |= bool(n >= media.MIN_VOTES and m >= media.MIN_OVERLAP and wrong <= media.MAX_ERROR)
+            if link:
+                n_links += 1
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert n_links > 30 and 3 <= len({root(i) for i in range(len(fps))}) < len(fps)
+    df = spark.createDataFrame(list(enumerate(sounds)), "id long, media binary")
+    assert {r.id: r.class_id for r in media.aligned(df).collect()} == {i: root(i) for i in range(len(fps))}
+
+
 def test_language(spark, none):
     words = {"en": "the and of thing with that", "de": "der und die nicht ein ich", "fr": "le la et une dans être", "es": "el los y una para señor"}
     rng = np.random.default_rng(2)
