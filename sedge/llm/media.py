@@ -12,6 +12,10 @@ components of all links, exactly: recordings with equal fingerprints meet as one
 compare every holder of a key with one leader of it, and classes grow; at last every pair of different classes that still
 shares a key is compared. So a group of copies is never compared in pairs. Recordings of different classes that
 share a key are: their number is not bounded by the input's length where many recordings share a stretch without being alike.
+
+Short recordings. One with fewer than MIN_OVERLAP places is aligned at a finer scale (SCALES: shorter frames and hops), the first
+at which it has as many; recordings up to twice as long as any of that scale take part there too, so that two whose lengths differ by less
+than a factor of two always meet. Recordings too short for every scale meet when their samples are equal.
 """
 
 from __future__ import annotations
@@ -32,9 +36,14 @@ LOWEST, HIGHEST = 28.0, 3520.0
 CHUNK = 1 << 15
 
 
-def _fold() -> np.ndarray:
+#: (samples of a frame, of a hop) of each scale, and the least samples that give MIN_OVERLAP places.
+SCALES = ((FRAME, HOP), (128, 32), (64, 16), (32, 8), (16, 4), (16, 2), (16, 1))
+LEAST = tuple(frame + (SPAN + MIN_OVERLAP - 2) * hop for frame, hop in SCALES)
+
+
+def _fold(frame: int) -> np.ndarray:
     """Weights from spectrum bins to pitch classes."""
-    f = np.fft.rfftfreq(FRAME, 1 / RATE)
+    f = np.fft.rfftfreq(frame, 1 / RATE)
     m = np.zeros((len(f), 12))
     for i, x in enumerate(f):
         if LOWEST <= x <= HIGHEST:
@@ -46,7 +55,7 @@ def _fold() -> np.ndarray:
 FILTERS = [(i % 4, (5 * i) % 12 - (5 * i) % 12 % 2, (4, 6, 8, 12)[i // 4], (16, 8, 12, 4)[i % 4]) for i in range(16)]
 #: Quarters of what each shape gives on noise.
 LEVELS = (-0.15, 0.0, 0.15)
-_FOLD, _TAPER = _fold(), np.hanning(FRAME)
+_FOLD, _TAPER = {f: _fold(f) for f, _ in SCALES}, {f: np.hanning(f) for f, _ in SCALES}
 
 
 def samples(media: bytes | None) -> np.ndarray:
@@ -59,16 +68,16 @@ def samples(media: bytes | None) -> np.ndarray:
     return (raw.astype(np.float32) - 128) / 128
 
 
-def chroma(x: np.ndarray) -> np.ndarray:
+def chroma(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
     """(frames, 12): the pitch classes of each whole frame, each row of length 1 (silence: 0)."""
-    n = (len(x) - FRAME) // HOP + 1
+    n = (len(x) - frame) // hop + 1
     if n < 1:
         return np.zeros((0, 12))
-    view = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    view = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
     parts = []
     for at in range(0, n, CHUNK):
-        energy = np.abs(np.fft.rfft((view[at : at + CHUNK] - view[at : at + CHUNK].mean(axis=1, keepdims=True)) * _TAPER, axis=1)) ** 2
-        parts.append(energy @ _FOLD)
+        energy = np.abs(np.fft.rfft((view[at : at + CHUNK] - view[at : at + CHUNK].mean(axis=1, keepdims=True)) * _TAPER[frame], axis=1)) ** 2
+        parts.append(energy @ _FOLD[frame])
     c = np.concatenate(parts)
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
@@ -107,17 +116,42 @@ def fingerprint(media: bytes | None) -> np.ndarray:
     return packed(chroma(samples(media)))
 
 
+def scales_of(n: int) -> list[int]:
+    """The scales at which a recording of n samples is aligned, the coarsest first; none for the shortest."""
+    return [k for k, least in enumerate(LEAST) if n >= least and (k == 0 or n < 2 * LEAST[k - 1])]
+
+
 def fingerprints(media: DataFrame) -> DataFrame:
-    """media (id, media: binary) -> id, fp: array<int>, digest: 16 bytes of it. Null, empty and short recordings have an empty one."""
+    """media (id, media: binary) -> id, fp: array<int>, scaled: array of (scale, fp), digest: 16 bytes.
+
+    Null, empty and short recordings have an empty fp; scaled holds the fingerprints to be aligned. The digest is of the first of
+    these, without one of the samples; null for null.
+    """
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(x.as_py()) for x in b.column(1)]
-            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int32())), pa.array(digests, pa.binary())], names=["id", "fp", "digest"])
+            fps, scaled, digests = [], [], []
+            for m in b.column(1):
+                x = samples(m.as_py())
+                fps.append(packed(chroma(x)))
+                own = [(k, fps[-1] if k == 0 else packed(chroma(x, *SCALES[k]))) for k in scales_of(len(x))]
+                scaled.append([{"scale": k, "fp": fp} for k, fp in own])
+                if not m.is_valid:
+                    digests.append(None)
+                elif own:
+                    digests.append(hashlib.blake2b(own[0][1].tobytes(), digest_size=16, salt=bytes([own[0][0]])).digest())
+                else:
+                    digests.append(hashlib.blake2b(x.tobytes(), digest_size=16, salt=b"samples").digest())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array(fps, pa.list_(pa.int32())),
+                    pa.array(scaled, pa.list_(pa.struct([("scale", pa.int32()), ("fp", pa.list_(pa.int32()))]))), pa.array(digests, pa.binary()),
+                ],
+                names=["id", "fp", "scaled", "digest"],
+            )
 
     return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(
-        run, "id long, fp array<int>, digest binary"
+        run, "id long, fp array<int>, scaled array<struct<scale:int,fp:array<int>>>, digest binary"
     )
 
 
@@ -129,18 +163,18 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def places(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
-    """recordings (id, fp) -> id, key, at."""
+    """recordings (id, scale, fp) -> id, scale, key, at."""
 
     def run(batches):
         held, n = [], 0
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "key", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "scale", "key", "at"])
 
         for b in batches:
-            for i, fp in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, scale, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 key, at = keys(fp.values.to_numpy(zero_copy_only=False))
-                held.append((np.full(len(key), i, np.int64), key, at))
+                held.append((np.full(len(key), i, np.int64), np.full(len(key), scale, np.int32), key, at))
                 n += len(key)
                 if n >= rows:
                     yield batch()
@@ -148,7 +182,7 @@ def places(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
         if held:
             yield batch()
 
-    return recordings.select("id", "fp").mapInArrow(run, "id long, key long, at int")
+    return recordings.select("id", "scale", "fp").mapInArrow(run, "id long, scale int, key long, at int")
 
 
 def bit_error(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
@@ -162,28 +196,28 @@ def bit_error(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
 
 
 def links(met: DataFrame, recordings: DataFrame) -> DataFrame:
-    """met (a, a_at, b, b_at): keys that two recordings hold -> the links id > to, votes, shift (frames), error."""
+    """met (scale, a, a_at, b, b_at): keys that two recordings hold -> the links id > to, scale, votes, shift (hops), error."""
     swap = F.col("a") < F.col("b")
     shift = F.when(swap, F.col("b_at") - F.col("a_at")).otherwise(F.col("a_at") - F.col("b_at"))
-    votes = met.groupBy(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"), shift.alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("id", "to").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("b"))
+    votes = met.groupBy(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"), "scale", shift.alias("shift")).agg(F.count("*").alias("votes"))
+    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("id", "to", "scale").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("b"))
     pairs = (
-        best.select("id", "to", "b.votes", "b.shift")
-        .join(recordings.select("id", F.col("fp").alias("a")), "id")
-        .join(recordings.select(F.col("id").alias("to"), F.col("fp").alias("b")), "to")
+        best.select("id", "to", "scale", "b.votes", "b.shift")
+        .join(recordings.select("id", "scale", F.col("fp").alias("a")), ["id", "scale"])
+        .join(recordings.select(F.col("id").alias("to"), "scale", F.col("fp").alias("b")), ["to", "scale"])
     )
     error, n = bit_error(F.col("a"), F.col("b"), F.col("shift"))
-    checked = pairs.select("id", "to", "votes", "shift", error.alias("error"), n.alias("n"))
+    checked = pairs.select("id", "to", "scale", "votes", "shift", error.alias("error"), n.alias("n"))
     return checked.where((F.col("n") >= MIN_OVERLAP) & (F.col("error") <= MAX_ERROR)).drop("n")
 
 
 def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """recordings (id, fp), ids and fingerprints each once -> (links that join the classes; node, root of all linked ones)."""
+    """recordings (id, scale, fp), of each id one for a scale -> (links that join the classes; node, root of all linked ones)."""
     every = places(recordings)
-    common = every.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    shared = stored(every.join(common, "key", "left_semi"), "keys")
+    common = every.groupBy("scale", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("scale", "key")
+    shared = stored(every.join(common, ["scale", "key"], "left_semi"), "keys")
     # Only recordings with a common key can be compared.
-    compared = stored(recordings.join(shared.select("id").distinct(), "id", "left_semi").select("id", "fp"), "compared")
+    compared = stored(recordings.join(shared.select("id", "scale").distinct(), ["id", "scale"], "left_semi").select("id", "scale", "fp"), "compared")
     found, roots = None, None
     for r in range(rounds + 1):
         if roots is None:
@@ -193,18 +227,18 @@ def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
             holders = shared.join(of, "id", "left").withColumn("class", F.coalesce("class", "id"))
         first = F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))
         leads = (
-            holders.groupBy("key")
+            holders.groupBy("scale", "key")
             .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(first.alias("first"), "id", "at", "class")).alias("lead"))
             .where("lo < hi")
         )
-        mine = holders.select("key", F.col("id").alias("a"), F.col("at").alias("a_at"), F.col("class").alias("a_class"))
+        mine = holders.select("scale", "key", F.col("id").alias("a"), F.col("at").alias("a_at"), F.col("class").alias("a_class"))
         if r < rounds:
-            other = leads.select("key", F.col("lead.id").alias("b"), F.col("lead.at").alias("b_at"), F.col("lead.class").alias("b_class"))
-            met = mine.join(other, "key").where("a_class <> b_class")
+            other = leads.select("scale", "key", F.col("lead.id").alias("b"), F.col("lead.at").alias("b_at"), F.col("lead.class").alias("b_class"))
+            met = mine.join(other, ["scale", "key"]).where("a_class <> b_class")
         else:  # what is left: classes that share keys and did not link by way of leaders
-            mine = stored(mine.join(leads.select("key"), "key", "left_semi"), "contested")
-            other = mine.select("key", F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.col("a_class").alias("b_class"))
-            met = mine.join(other, "key").where("a > b and a_class <> b_class")
+            mine = stored(mine.join(leads.select("scale", "key"), ["scale", "key"], "left_semi"), "contested")
+            other = mine.select("scale", "key", F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.col("a_class").alias("b_class"))
+            met = mine.join(other, ["scale", "key"]).where("a > b and a_class <> b_class")
         new = stored(links(met, compared), "links")
         found = new if found is None else found.union(new)
         joins = new.select(F.col("id").alias("a"), F.col("to").alias("b"))
@@ -216,21 +250,21 @@ def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
 
 def aligned(media: DataFrame) -> DataFrame:
-    """media (id, media: binary, ...) -> id, n_places, fp (the packed integers), class_id, match_id, shift, error.
+    """media (id, media: binary, ...) -> id, n_places, fp (the packed integers at FRAME and HOP), class_id, match_id, shift, hop, error.
 
     One row for each row. class_id is the least id of the recording's class. match_id is the least id of an equal
     fingerprint or, for that one itself, of the links that joined the classes the one to a smaller id with the most votes (ties:
-    the smallest); shift is its offset in frames, error the share of differing bits; null without one.
-    Recordings of fewer than MIN_OVERLAP places (null, empty, short) are classes of their own; rows with a null id
+    the smallest); shift is its offset in hops, hop the samples of one, error the share of differing bits; null without one.
+    Recordings of fewer than LEAST[-1] samples, also empty ones, meet only equal ones; null ones are classes of their own; rows with a null id
     aren't aligned; of rows that repeat an id one, that of the least digest, is aligned for all of them; other columns are ignored.
     """
     prints = stored(fingerprints(media), "prints")
-    long = prints.where((F.col("id").isNotNull()) & (F.size("fp") >= MIN_OVERLAP))
-    one = stored(long.groupBy("id").agg(F.min(F.struct("digest", "fp")).alias("x")).select("id", "x.digest", "x.fp"), "recordings")
+    heard = prints.where("id is not null and digest is not null")
+    one = stored(heard.groupBy("id").agg(F.min(F.struct("digest", "scaled")).alias("x")).select("id", "x.digest", "x.scaled"), "recordings")
     least = one.groupBy("digest").agg(F.min("id").alias("rec"))
     named = one.select("id", "digest").join(least, "digest").select("id", "rec")
-    found, roots = linked(one.join(least.select(F.col("rec").alias("id")), "id", "left_semi").select("id", "fp"))
-    match = found.groupBy("id").agg(F.max(F.struct("votes", (-F.col("to")).alias("less"), "to", "shift", "error")).alias("m"))
+    found, roots = linked(one.join(least.select(F.col("rec").alias("id")), "id", "left_semi").select("id", F.inline("scaled")))
+    match = found.groupBy("id").agg(F.max(F.struct("votes", (-F.col("to")).alias("less"), "to", "shift", "scale", "error")).alias("m"))
     known = (
         named.join(roots.select(F.col("node").alias("rec"), "root"), "rec", "left")
         .join(match.select(F.col("id").alias("rec"), "m"), "rec", "left")
@@ -244,5 +278,6 @@ def aligned(media: DataFrame) -> DataFrame:
         F.coalesce("class", "id").alias("class_id"),
         F.when(copy, F.col("rec")).otherwise(F.col("m.to")).alias("match_id"),
         F.when(copy, F.lit(0)).otherwise(F.col("m.shift")).alias("shift"),
+        F.when(~copy, F.element_at(F.array(*[F.lit(hop) for _, hop in SCALES]), F.col("m.scale") + 1)).alias("hop"),
         F.when(copy, F.lit(0.0)).otherwise(F.col("m.error")).alias("error"),
     )

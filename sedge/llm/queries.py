@@ -30,7 +30,7 @@ def op5_media(spark: SparkSession, folder: str) -> DataFrame:
     found = media.aligned(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("media")))
     return found.select(
         F.col("id").alias("doc_id"), "n_places", F.crc32(F.concat_ws(",", F.col("fp").cast("array<string>")).cast("binary")).alias("fp_crc32"),
-        "class_id", "match_id", "shift", F.round("error", 6).alias("error"),
+        "class_id", "match_id", "shift", "hop", F.round("error", 6).alias("error"),
     )
 
 

@@ -212,6 +212,25 @@ def test_media_links_all(spark):
     assert {r.id: r.class_id for r in media.aligned(df).collect()} == {i: root(i) for i in range(len(fps))}
 
 
+def test_media_short(spark):
+    """Short recordings meet equal and altered ones at finer scales; the shortest meet equal ones."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (5, 37, 40, 70, 150, 300, 600, 1100, 1600):
+        x = rng.integers(0, 256, n, np.uint8)
+        hop = next((h for (_, h), least in zip(media.SCALES, media.LEAST) if n >= least), 0)
+        more = np.concatenate([rng.integers(0, 256, hop * 4, np.uint8), x])  # begins four hops earlier
+        rows += [(n, x.tobytes()), (n + 10_000, x.tobytes()), (n + 20_000, more.tobytes() if hop else None), (n + 30_000, rng.integers(0, 256, n, np.uint8).tobytes())]
+    got = {r.id: r for r in media.aligned(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    for n in [i for i in got if i < 10_000]:
+        hop = next((h for (_, h), least in zip(media.SCALES, media.LEAST) if n >= least), 0)
+        assert got[n].class_id == n and got[n + 10_000].class_id == n and got[n + 10_000].match_id == n and got[n + 30_000].class_id == n + 30_000
+        if n >= media.LEAST[-1]:
+            assert got[n + 20_000].class_id == n and got[n + 20_000].match_id == n and abs(got[n + 20_000].shift) * got[n + 20_000].hop == 4 * hop and got[n + 20_000].error == 0
+        else:
+            assert got[n + 20_000].class_id == n + 20_000
+
+
 def test_language(spark, none):
     words = {"en": "the and of thing with that", "de": "der und die nicht ein ich", "fr": "le la et une dans être", "es": "el los y una para señor"}
     rng = np.random.default_rng(2)
