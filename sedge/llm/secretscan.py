@@ -1,13 +1,15 @@
 """Secrets in texts: known forms, and strings that a tokenizer's vocabulary doesn't know.
 
 The vocabulary of a public tokenizer holds what people write often; a random string falls into many short tokens. A run
-of RANDOM_LEAST or more key characters with letters and digits is taken as random when it has fewer than RATIO
-characters a token, unless it is a digest of a known length, a UUID or all of one kind.
+of RANDOM_LEAST or more key characters is taken as random when it has fewer than RATIO characters a token, unless it is a
+digest of a known length, a UUID or all digits, all lower or all upper case. In a run of more, each window of tokens with RANDOM_LEAST
+characters is tested alike, so that words joined to a key don't hide it; windows that overlap are one span.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +18,8 @@ from sedge.llm.spans import Span, base_of, count_of, joined, spans_of
 
 KINDS = ("assign", "access", "hex", "random")
 RATIO, RANDOM_LEAST, RANDOM_CHUNK = 1.9, 20, 1024
+#: Characters of a token that is taken for a word.
+WORD = 4
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 
@@ -27,6 +31,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_PART = re.compile("[A-Za-z0-9]*")
+_IDENTIFIER = re.compile(rf"(?<![0-9A-Za-z])(?:{_UUID.pattern}|[0-9a-fA-F]{{32,128}})(?![0-9A-Za-z])")
 _HEXES = re.compile(r"[0-9a-fA-F]+")
 _made: dict[str, object] = {}
 
@@ -51,18 +57,61 @@ def encoding(path: str):
     return _made[path]
 
 
+def lengths(run: str, vocabulary: str) -> list[int]:
+    """The characters of each token."""
+    enc = encoding(vocabulary)
+    return [len(x) for i in range(0, len(run), RANDOM_CHUNK) for x in enc.decode_tokens_bytes(enc.encode_ordinary(run[i : i + RANDOM_CHUNK]))]
+
+
 def efficiency(run: str, vocabulary: str) -> float:
     """Characters a token."""
-    enc = encoding(vocabulary)
-    return len(run) / sum(len(enc.encode_ordinary(run[i : i + RANDOM_CHUNK])) for i in range(0, len(run), RANDOM_CHUNK))
+    return len(run) / len(lengths(run, vocabulary))
 
 
 def _known(run: str) -> bool:
-    """Digests and identifiers, and runs of one kind of character."""
+    """Digests and identifiers, and runs of one kind of character: digits, or letters of one case."""
     bare = run.strip("=-_/+")
     if _UUID.fullmatch(bare) or (_HEXES.fullmatch(bare) and len(bare) in DIGESTS):
         return True
-    return not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run))
+    return any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run) < 2
+
+
+def _windows(run: str, vocabulary: str):
+    """(start, end, characters a token) of the random stretches of a run whose whole isn't random."""
+    at, pieces = 0, []
+    for m in _IDENTIFIER.finditer(run):
+        if len(m[0]) in DIGESTS or "-" in m[0]:
+            pieces.append((at, m.start()))
+            at = m.end()
+    for a, b in [*pieces, (at, len(run))]:
+        if b - a < RANDOM_LEAST:
+            continue
+        size = lengths(run[a:b], vocabulary)
+        edge = [a, *accumulate(size, initial=a)][1:]
+        marked: list[list[int]] = []
+        j = 0
+        for i in range(len(size)):
+            while j < len(size) and edge[j] - edge[i] < RANDOM_LEAST:
+                j += 1
+            if edge[j] - edge[i] < RANDOM_LEAST:
+                break
+            if edge[j] - edge[i] < RATIO * (j - i):
+                if marked and i < marked[-1][1]:
+                    marked[-1][1] = j
+                else:
+                    marked.append([i, j])
+        for i, j in marked:
+            # words at the ends are not of the key, unless it would be too short without them
+            while size[i] >= WORD and edge[j] - edge[i + 1] >= RANDOM_LEAST:
+                i += 1
+            while size[j - 1] >= WORD and edge[j - 1] - edge[i] >= RANDOM_LEAST:
+                j -= 1
+            start, end = edge[i], edge[j]
+            # a few letters or digits up to the next separator are of the key
+            tail, head = _PART.match(run, end, b).end(), start - len(_PART.match(run[a:start][::-1])[0])
+            end, start = tail if tail - end <= 2 * WORD else end, head if start - head <= 2 * WORD else start
+            if not _known(run[start:end]):
+                yield start, end, (edge[j] - edge[i]) / (j - i)
 
 
 def scan(text: str, vocabulary: str) -> list[Span]:
@@ -75,8 +124,12 @@ def scan(text: str, vocabulary: str) -> list[Span]:
         found += [("access", *m.span(), 1.0, True) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", *m.span(), 1.0, True) for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
-        if not _known(m[0]) and (ratio := efficiency(m[0], vocabulary)) < RATIO:
+        if _known(m[0]):
+            continue
+        if (ratio := efficiency(m[0], vocabulary)) < RATIO:
             found.append(("random", *m.span(), 1 - ratio / RATIO, False))
+        else:
+            found += [("random", m.start() + a, m.start() + b, max(0.0, 1 - r / RATIO), False) for a, b, r in _windows(m[0], vocabulary)]
     return found
 
 

@@ -298,6 +298,21 @@ def test_secrets(docs, none):
     assert secretscan.digest(secretscan.secrets(docs)).count() == len(TEXTS) and secretscan.digest(secretscan.secrets(none)).count() == 0
 
 
+def test_secrets_joined_to_words():
+    """A random key joined to words, or without digits, is found; joined words, identifiers and digests are not."""
+    v, rng = secretscan.default_vocabulary(), np.random.default_rng(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda of, n: "".join(rng.choice(list(of), n))
+    for before, of in (("", letters), ("company-production-database-", letters + "0123456789"), ("/services/incoming/webhooks/", letters + "0123456789")):
+        hit = 0
+        for _ in range(200):
+            t = before + draw(of, 24)
+            hit += any(s[0] == "random" and s[2] == len(t) and s[1] <= len(t) - 20 for s in secretscan.scan(t, v))
+        assert hit >= 180
+    for t in ("company-production-database-server/configuration_Settings2024", "/Services/incoming/550e8400-e29b-41d4-a716-446655440000/webhooks/production"):
+        assert secretscan.scan(t, v) == []
+
+
 def test_lm(docs, none):
     docs_ = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in TEXTS]
     one, two = collections.Counter(), collections.Counter()
