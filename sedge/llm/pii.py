@@ -34,6 +34,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an account number by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20,
+    "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_OF = {
+    n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])")
+    for n in set(IBAN_LENGTHS.values())
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
@@ -68,6 +83,19 @@ def _emails(text: str):
             at = text.find("@", at + 1)
 
 
+def _ibans(text: str):
+    """Spans of account numbers: each start is cut to its country's length; of countries without one the longest match is tested."""
+    at = 0
+    while m := _IBAN_START.search(text, at):
+        n = IBAN_LENGTHS.get(m[0][:2])
+        whole = (_IBAN_OF[n] if n else _IBAN).match(text, m.start())
+        if whole and mod97(whole[0].replace(" ", "")):
+            yield whole.span()
+            at = whole.end()
+        else:
+            at = m.start() + 1
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
     words = set(_WORD.findall(near.lower()))
@@ -92,7 +120,7 @@ def scan(text: str) -> list[Span]:
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found.append(("phone", *m.span()))
         base = len(found)
-        found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [("iban", *span) for span in _ibans(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         found += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     else:

@@ -151,6 +151,17 @@ def test_pii(docs, none):
     assert pii.scan("9" * 200_000 + " " + "a" * 200_000) == []
 
 
+def test_pii_iban_before_capitals():
+    """What follows an account number isn't taken for its end, nor what comes before for its start."""
+    for n in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "PL61 1090 1014 0000 0712 1981 2874"):
+        for before in ("", "AB12 3456 ", "ES00 1111 "):
+            for after in ("", " BIC CAIXESBB", " 100 euros", " EUR 500", " EURO 5", " AT611904300234573201", ", then"):
+                t = before + n + after
+                assert t[len(before) : len(before) + len(n)] in [t[a:b] for k, a, b, *_ in pii.scan(t) if k == "iban"], t
+    assert pii.redacted("to AT611904300234573201 EUR 500") == "to [IBAN] EUR 500"
+    assert not [s for s in pii.scan("ES92 2100 0418 4502 0005 1332 BIC ES9121000418450200051332X") if s[0] == "iban"]
+
+
 def test_media(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 8000, np.uint8).tobytes(), rng.integers(0, 256, 8000, np.uint8).tobytes()
