@@ -4,6 +4,7 @@ import collections
 import os
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from sedge.llm import pii, simhash
 from sedge.session import stored
@@ -26,3 +27,15 @@ def test_stages(spark):
     assert mixed.select("doc_id").distinct().count() <= clean.count()
     tokens = packed.groupBy("sequence_id").sum("length").collect()
     assert all(r[1] & (r[1] - 1) == 0 for r in tokens)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_language_rejects(spark):
+    """Gibberish and texts in none of the learned languages go, the others stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(0)
+    odd = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(60)) for _ in range(20)]
+    odd += ["Stary rybak mieszka nad jeziorem w lesie ze swoim psem i opowiada dzieciom bajki", "Tämä on suomenkielinen lause joka kertoo metsästä ja järvestä"]
+    more = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more), "").select("doc_id").collect()]
+    assert len(kept) >= 0.99 * docs.count() and not [i for i in kept if i is not None and i >= 10_000_000]
