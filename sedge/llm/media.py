@@ -278,6 +278,6 @@ def aligned(media: DataFrame) -> DataFrame:
         F.coalesce("class", "id").alias("class_id"),
         F.when(copy, F.col("rec")).otherwise(F.col("m.to")).alias("match_id"),
         F.when(copy, F.lit(0)).otherwise(F.col("m.shift")).alias("shift"),
-        F.when(~copy, F.element_at(F.array(*[F.lit(hop) for _, hop in SCALES]), F.col("m.scale") + 1)).alias("hop"),
+        F.when(~copy & F.col("m").isNotNull(), F.element_at(F.array(*[F.lit(hop) for _, hop in SCALES]), F.col("m.scale") + 1)).alias("hop"),
         F.when(copy, F.lit(0.0)).otherwise(F.col("m.error")).alias("error"),
     )

@@ -233,6 +233,7 @@ def test_media_short(spark):
         more = np.concatenate([rng.integers(0, 256, hop * 4, np.uint8), x])  # begins four hops earlier
         rows += [(n, x.tobytes()), (n + 10_000, x.tobytes()), (n + 20_000, more.tobytes() if hop else None), (n + 30_000, rng.integers(0, 256, n, np.uint8).tobytes())]
     got = {r.id: r for r in media.aligned(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert all(r.hop is None for r in got.values() if r.match_id is None)
     for n in [i for i in got if i < 10_000]:
         hop = next((h for (_, h), least in zip(media.SCALES, media.LEAST) if n >= least), 0)
         assert got[n].class_id == n and got[n + 10_000].class_id == n and got[n + 10_000].match_id == n and got[n + 30_000].class_id == n + 30_000
