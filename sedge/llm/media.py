@@ -5,13 +5,17 @@ are folded to 12 pitch classes. Over the image of pitch classes by frames, filte
 read from an integral image; each of the 16 filters gives two bits (Gray code), together one packed 32-bit integer for
 each place of a SPAN frames wide window.
 
-Alignment. Two packed integers in a row are a key (64 bits); a recording's key stands at its first place there. For two
-recordings, each key of both votes for an offset; the offset with the most votes (ties: the least shift) is taken if
-it has MIN_VOTES, and is a link if at most MAX_ERROR of the bits of the whole overlap differ. Classes are the
+Alignment. Two packed integers in a row are a key (64 bits). For two recordings every pair of places with equal keys votes
+for an offset; the offset with the most votes (ties: the least shift) is taken. It is a link if the votes are at least MIN_VOTES and
+SHARE of the shorter recording's places, and at most MAX_ERROR of the bits of the whole overlap differ: so one recording is for the
+most part heard in the other, and a stretch that many recordings share doesn't join those that are unlike otherwise.
+
+Search. Of a recording with n places, of which SHARE must agree, any n - SHARE * n + 1 places hold one that agrees: its probes
+are those with the rarest keys. A pair can be a link only if the two share a key that is a probe of the shorter one, at an offset
+whose overlap is long enough; so keys of common stretches bring pairs together only where little else is left to tell them by. Classes are the
 components of all links, exactly: recordings with equal fingerprints meet as one; then ROUNDS rounds, each linear in the keys,
-compare every holder of a key with one leader of it, and classes grow; at last every pair of different classes that still
-shares a key is compared. So a group of copies is never compared in pairs. Recordings of different classes that
-share a key are: their number is not bounded by the input's length where many recordings share a stretch without being alike.
+compare every holder of a key with one leader of it, and classes grow; at last every pair of different classes that meets the condition
+above is compared. A group of copies is thus never compared in pairs.
 
 Short recordings. One with fewer than MIN_OVERLAP places is aligned at a finer scale (SCALES: shorter frames and hops), the first
 at which it has as many; recordings up to twice as long as any of that scale take part there too, so that two whose lengths differ by less
@@ -30,8 +34,8 @@ from sedge.operators.components import components
 from sedge.session import stored
 
 RATE, FRAME, HOP, SPAN = 8000, 256, 64, 16
-MIN_VOTES, MAX_ERROR, MIN_OVERLAP = 4, 0.2, 8
-ROUNDS = 3
+MIN_VOTES, SHARE, MAX_ERROR, MIN_OVERLAP = 4, 0.5, 0.2, 8
+ROUNDS = 2
 LOWEST, HIGHEST = 28.0, 3520.0
 CHUNK = 1 << 15
 
@@ -58,14 +62,40 @@ LEVELS = (-0.15, 0.0, 0.15)
 _FOLD, _TAPER = {f: _fold(f) for f, _ in SCALES}, {f: np.hanning(f) for f, _ in SCALES}
 
 
+def _wav(raw: bytes) -> np.ndarray | None:
+    """The samples of a WAV file of whole-number samples, its channels averaged; None if raw is none."""
+    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(raw):
+        name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+        body = raw[at + 8 : at + 8 + size]  # a size beyond the file's end means the rest of it
+        if name == b"fmt " and len(body) >= 16:
+            form = int.from_bytes(body[:2], "little"), int.from_bytes(body[2:4], "little"), int.from_bytes(body[14:16], "little")
+        elif name == b"data" and form:
+            kind, channels, bits = form
+            if kind not in (1, 0xFFFE) or bits not in (8, 16, 24, 32) or not channels:
+                return None
+            wide = bits // 8
+            body = np.frombuffer(body[: len(body) // (wide * channels) * wide * channels], np.uint8).reshape(-1, wide)
+            if wide == 1:
+                x = (body[:, 0].astype(np.float32) - 128) / 128
+            else:
+                whole = np.zeros((len(body), 4), np.uint8)
+                whole[:, 4 - wide :] = body
+                x = (whole.view("<i4")[:, 0] / np.float64(1 << 31)).astype(np.float32)
+            return x.reshape(-1, channels).mean(axis=1)
+        at += 8 + size + size % 2
+    return None
+
+
 def samples(media: bytes | None) -> np.ndarray:
-    """The samples of a recording, from -1 to 1: of a WAV file's data part if it is one, else of all bytes."""
+    """The samples of a recording, from -1 to 1: of a WAV file if it is one that can be read, else of all bytes, 8 bits each."""
     if not media:
         return np.zeros(0, np.float32)
-    raw = np.frombuffer(media, np.uint8)
-    if media[:4] == b"RIFF" and media[8:12] == b"WAVE" and (at := media.find(b"data", 12)) > 0:
-        raw = raw[at + 8 :]
-    return (raw.astype(np.float32) - 128) / 128
+    if (x := _wav(media)) is not None:
+        return x
+    return (np.frombuffer(media, np.uint8).astype(np.float32) - 128) / 128
 
 
 def chroma(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -155,26 +185,68 @@ def fingerprints(media: DataFrame) -> DataFrame:
     )
 
 
-def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, its first place) of each two packed integers in a row."""
+def keys(fp: np.ndarray) -> np.ndarray:
+    """The key of each place: two packed integers in a row."""
     wide = fp.astype(np.int64)
-    found, at = np.unique((wide[:-1] << 32) | (wide[1:] & 0xFFFFFFFF), return_index=True)
-    return found, at.astype(np.int32)
-
-
-def places(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
-    """recordings (id, scale, fp) -> id, scale, key, at."""
+    return (wide[:-1] << 32) | (wide[1:] & 0xFFFFFFFF)
+
+
+def needed(n):
+    """The votes that a link needs whose shorter recording has n places; of a number, an array or a Column."""
+    if isinstance(n, Column):
+        return F.greatest(F.lit(MIN_VOTES), F.ceil(F.lit(SHARE) * n)).cast("int")
+    return np.maximum(MIN_VOTES, np.ceil(SHARE * n)).astype(np.int64)
+
+
+def best_offset(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(votes, offset) of the best offset of two recordings' keys: place i of a lies at place i - offset of b."""
+    votes = np.zeros(len(a) + len(b), np.int64)
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    both, at_a, n_a = np.unique(a[order_a], return_index=True, return_counts=True)
+    there, at_b, n_b = np.unique(b[order_b], return_index=True, return_counts=True)
+    _, i, j = np.intersect1d(both, there, assume_unique=True, return_indices=True)
+    once = (n_a[i] == 1) & (n_b[j] == 1)
+    np.add.at(votes, order_a[at_a[i[once]]] - order_b[at_b[j[once]]] + len(b) - 1, 1)
+    for x, y in zip(i[~once].tolist(), j[~once].tolist()):  # a key that is held more than once: each pair of its places votes
+        one, two = order_a[at_a[x] : at_a[x] + n_a[x]], order_b[at_b[y] : at_b[y] + n_b[y]]
+        for part in range(0, len(one), max(1, CHUNK // len(two))):
+            off = (one[part : part + max(1, CHUNK // len(two)), None] - two[None]).ravel() + len(b) - 1
+            votes += np.bincount(off, minlength=len(votes))
+    most = votes.max(initial=0)
+    tied = np.flatnonzero(votes == most) - (len(b) - 1)
+    return int(most), int(min(tied.tolist(), key=lambda x: (abs(x), x)))
+
+
+def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
+    """(share of differing bits, length) of the overlap of two fingerprints when place i of a lies at place i - offset of b."""
+    x, y = a[max(offset, 0) :], b[max(-offset, 0) :]
+    n = min(len(x), len(y))
+    return int(np.bitwise_count((x[:n] ^ y[:n]).view(np.uint32)).sum()) / (32 * n), n
+
+
+def link(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
+    """(votes, shift, error) of two fingerprints if they are a link."""
+    ka, kb = keys(a), keys(b)
+    votes, shift = best_offset(ka, kb)
+    if votes < needed(min(len(ka), len(kb))):
+        return None
+    error, n = bit_error(a, b, shift)
+    return (votes, shift, error) if n >= MIN_OVERLAP and error <= MAX_ERROR else None
+
+
+def held_keys(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """recordings (id, scale, fp) -> id, scale, key: each different key of a recording once."""
 
     def run(batches):
         held, n = [], 0
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "scale", "key", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "scale", "key"])
 
         for b in batches:
             for i, scale, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                key, at = keys(fp.values.to_numpy(zero_copy_only=False))
-                held.append((np.full(len(key), i, np.int64), np.full(len(key), scale, np.int32), key, at))
+                key = np.unique(keys(fp.values.to_numpy(zero_copy_only=False)))
+                held.append((np.full(len(key), i, np.int64), np.full(len(key), scale, np.int32), key))
                 n += len(key)
                 if n >= rows:
                     yield batch()
@@ -182,64 +254,112 @@ def places(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
         if held:
             yield batch()
 
-    return recordings.select("id", "scale", "fp").mapInArrow(run, "id long, scale int, key long, at int")
+    return recordings.select("id", "scale", "fp").mapInArrow(run, "id long, scale int, key long")
 
 
-def bit_error(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
-    """(share of differing bits, length) of the overlap when place i of a lies at place i - offset of b."""
-    skip_a, skip_b = F.greatest(offset, F.lit(0)), F.greatest(-offset, F.lit(0))
-    n = F.least(F.size(a) - skip_a, F.size(b) - skip_b)
-    low = F.lit(0xFFFFFFFF)  # bit_count widens a negative integer to 64 bits
-    differing = F.zip_with(F.slice(a, skip_a + 1, n), F.slice(b, skip_b + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(low)))
-    wrong = F.aggregate(differing, F.lit(0), lambda t, x: t + x)
-    return wrong / (32 * n), n
+def probed(held: DataFrame) -> DataFrame:
+    """held (id, scale, fp, common: array of (key, holders)) -> id, scale, key, first, last (places), n (places of the recording), probe.
+
+    A row for each common key of a recording; probe marks those of which a link to a recording at least as long must share one.
+    Keys that only one recording holds come first among the probes and need no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            for i, scale, fp, common in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                key = keys(fp.values.to_numpy(zero_copy_only=False))
+                fields = common.values
+                known, holders = [fields.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+                order = np.argsort(known)
+                known, holders = known[order], holders[order]
+                at = np.searchsorted(known, key)
+                mine = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == key)
+                of = at[mine]
+                times = np.bincount(of, minlength=len(known))
+                first, last = np.full(len(known), len(key)), np.zeros(len(known), np.int64)
+                np.minimum.at(first, of, mine)
+                np.maximum.at(last, of, mine)
+                rare = np.lexsort((known, holders))
+                before = np.empty(len(known), np.int64)
+                before[rare] = len(key) - len(mine) + np.cumsum(times[rare]) - times[rare]
+                probe = before < len(key) - needed(len(key)) + 1
+                k = len(known)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, scale, np.int32)), pa.array(known), pa.array(first.astype(np.int32)),
+                        pa.array(last.astype(np.int32)), pa.array(np.full(k, len(key), np.int32)), pa.array(probe),
+                    ],
+                    names=["id", "scale", "key", "first", "last", "n", "probe"],
+                )
+
+    return held.select("id", "scale", "fp", "common").mapInArrow(run, "id long, scale int, key long, first int, last int, n int, probe boolean")
+
+
+def _may_overlap(a: str, b: str) -> Column:
+    """Whether at some offset that puts a place of a's key on one of b's the overlap can hold the needed votes."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    lo, hi = F.col(f"{a}.first") - F.col(f"{b}.last"), F.col(f"{a}.last") - F.col(f"{b}.first")
+    off = F.greatest(lo, F.least(hi, F.least(F.lit(0), n_a - n_b)))  # the offset in lo..hi with the longest overlap
+    overlap = F.least(n_a - F.greatest(off, F.lit(0)), n_b - F.greatest(-off, F.lit(0)))
+    return overlap >= needed(F.least(n_a, n_b))
 
 
 def links(met: DataFrame, recordings: DataFrame) -> DataFrame:
-    """met (scale, a, a_at, b, b_at): keys that two recordings hold -> the links id > to, scale, votes, shift (hops), error."""
-    swap = F.col("a") < F.col("b")
-    shift = F.when(swap, F.col("b_at") - F.col("a_at")).otherwise(F.col("a_at") - F.col("b_at"))
-    votes = met.groupBy(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"), "scale", shift.alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("id", "to", "scale").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("b"))
+    """met (scale, a, b), repeats allowed, recordings (id, scale, fp) -> the links id > to, scale, votes, shift (hops), error."""
     pairs = (
-        best.select("id", "to", "scale", "b.votes", "b.shift")
+        met.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to"), "scale")
+        .distinct()
         .join(recordings.select("id", "scale", F.col("fp").alias("a")), ["id", "scale"])
         .join(recordings.select(F.col("id").alias("to"), "scale", F.col("fp").alias("b")), ["to", "scale"])
     )
-    error, n = bit_error(F.col("a"), F.col("b"), F.col("shift"))
-    checked = pairs.select("id", "to", "scale", "votes", "shift", error.alias("error"), n.alias("n"))
-    return checked.where((F.col("n") >= MIN_OVERLAP) & (F.col("error") <= MAX_ERROR)).drop("n")
+
+    def run(batches):
+        for batch in batches:
+            i, to, scale = [batch.column(k).to_pylist() for k in range(3)]
+            found = [link(*[x.values.to_numpy(zero_copy_only=False) for x in ab]) for ab in zip(batch.column(3), batch.column(4))]
+            rows = [(x, y, z, *f) for x, y, z, f in zip(i, to, scale, found) if f]
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64()))],
+                names=["id", "to", "scale", "votes", "shift", "error"],
+            )
+
+    return pairs.select("id", "to", "scale", "a", "b").mapInArrow(run, "id long, to long, scale int, votes long, shift int, error double")
 
 
 def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """recordings (id, scale, fp), of each id one for a scale -> (links that join the classes; node, root of all linked ones)."""
-    every = places(recordings)
-    common = every.groupBy("scale", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("scale", "key")
-    shared = stored(every.join(common, ["scale", "key"], "left_semi"), "keys")
+    every = held_keys(recordings)
+    common = every.groupBy("scale", "key").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = every.join(common, ["scale", "key"])
+    of = shared.groupBy("id", "scale").agg(F.collect_list(F.struct("key", "holders")).alias("common"))  # at most a recording's own keys
     # Only recordings with a common key can be compared.
-    compared = stored(recordings.join(shared.select("id", "scale").distinct(), ["id", "scale"], "left_semi").select("id", "scale", "fp"), "compared")
+    compared = stored(recordings.join(of, ["id", "scale"]).select("id", "scale", "fp", "common"), "compared")
+    rows = stored(probed(compared), "probed")
+    live = rows.groupBy("scale", "key").agg(F.max("probe").alias("live"), F.count("*").alias("n")).where("live and n > 1").select("scale", "key")
+    rows = stored(rows.join(live, ["scale", "key"], "left_semi"), "keys")
+    prints = compared.select("id", "scale", "fp")
     found, roots = None, None
     for r in range(rounds + 1):
         if roots is None:
-            holders = shared.withColumn("class", F.col("id"))
+            holders = rows.withColumn("class", F.col("id"))
         else:
-            of = roots.select(F.col("node").alias("id"), F.col("root").alias("class"))
-            holders = shared.join(of, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        first = F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))
+            now = roots.select(F.col("node").alias("id"), F.col("root").alias("class"))
+            holders = rows.join(now, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        mine = holders.select("scale", "key", F.struct("id", "first", "last", "n", "probe", "class").alias("a"))
+        order = F.col("n").cast("long") if r == 0 else F.xxhash64("id", F.lit(r))
         leads = (
             holders.groupBy("scale", "key")
-            .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(first.alias("first"), "id", "at", "class")).alias("lead"))
+            .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("probe", order.alias("order"), "id", "first", "last", "n", "class")).alias("b"))
             .where("lo < hi")
         )
-        mine = holders.select("scale", "key", F.col("id").alias("a"), F.col("at").alias("a_at"), F.col("class").alias("a_class"))
         if r < rounds:
-            other = leads.select("scale", "key", F.col("lead.id").alias("b"), F.col("lead.at").alias("b_at"), F.col("lead.class").alias("b_class"))
-            met = mine.join(other, ["scale", "key"]).where("a_class <> b_class")
+            met = mine.join(leads.select("scale", "key", "b"), ["scale", "key"]).where((F.col("a.class") != F.col("b.class")) & _may_overlap("a", "b"))
         else:  # what is left: classes that share keys and did not link by way of leaders
             mine = stored(mine.join(leads.select("scale", "key"), ["scale", "key"], "left_semi"), "contested")
-            other = mine.select("scale", "key", F.col("a").alias("b"), F.col("a_at").alias("b_at"), F.col("a_class").alias("b_class"))
-            met = mine.join(other, ["scale", "key"]).where("a > b and a_class <> b_class")
-        new = stored(links(met, compared), "links")
+            met = mine.where("a.probe").join(mine.withColumnRenamed("a", "b"), ["scale", "key"])
+            met = met.where((F.col("a.class") != F.col("b.class")) & (F.col("a.n") <= F.col("b.n")) & _may_overlap("a", "b"))
+        new = stored(links(met.select("scale", F.col("a.id").alias("a"), F.col("b.id").alias("b")), prints), "links")
         found = new if found is None else found.union(new)
         joins = new.select(F.col("id").alias("a"), F.col("to").alias("b"))
         if roots is None:
@@ -254,7 +374,7 @@ def aligned(media: DataFrame) -> DataFrame:
 
     One row for each row. class_id is the least id of the recording's class. match_id is the least id of an equal
     fingerprint or, for that one itself, of the links that joined the classes the one to a smaller id with the most votes (ties:
-    the smallest); shift is its offset in hops, hop the samples of one, error the share of differing bits; null without one.
+    the smallest): a link, not always the best of all; shift is its offset in hops, hop the samples of one, error the share of differing bits; null without one.
     Recordings of fewer than LEAST[-1] samples, also empty ones, meet only equal ones; null ones are classes of their own; rows with a null id
     aren't aligned; of rows that repeat an id one, that of the least digest, is aligned for all of them; other columns are ignored.
     """

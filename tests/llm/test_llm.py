@@ -171,8 +171,8 @@ def test_media(spark):
     assert len(got) == len(rows)
     assert got[2].match_id == 1 and got[2].shift == 0 and got[2].error == 0 and got[3].match_id == 1 and got[3].shift == -20 and got[3].error == 0
     assert got[1].class_id == got[2].class_id == got[3].class_id == 1 and got[5].n_places == 0 and got[10].class_id == 10
-    # 9 is most of 4, then the start of 1: over their overlaps it differs from both in less than MAX_ERROR of the bits, so it joins them.
-    assert got[4].class_id == got[9].class_id == 1
+    # 9 is most of 4, then the start of 1: only the first is at least half of it.
+    assert got[4].class_id == got[9].class_id == 4
     assert media.aligned(df.limit(0)).count() == 0
     fp = media.fingerprint(a)
     assert len(fp) == (8000 - media.FRAME) // media.HOP + 1 - media.SPAN + 1
@@ -194,8 +194,13 @@ def test_media_links_all(spark):
             sounds.append(np.concatenate([b[:2560], other[2560:4480], rng.integers(0, 256, 640 * k, np.uint8)]))
     order = rng.permutation(len(sounds))
     sounds = [sounds[i].tobytes() for i in order] + [sounds[0].tobytes(), bytes([9, 200] * 3000), bytes([9, 200] * 3000)]
+    sounds += [(base[0].tobytes()[:2560] + base[0].tobytes()), base[1].tobytes() * 2, bytes([9, 200] * 2500), base[2].tobytes()[640:3840]]  # repeated stretches, an excerpt
     fps = [media.fingerprint(x) for x in sounds]
     up = list(range(len(fps)))
+    where = collections.defaultdict(list)
+    for j, b in enumerate(fps):
+        for q in range(len(b) - 1):
+            where[j, b[q], b[q + 1]].append(q)
 
     def root(i):
         return i if up[i] == i else root(up[i])
@@ -203,18 +208,15 @@ def test_media_links_all(spark):
     n_links = 0
     for i, a in enumerate(fps):
         for j, b in enumerate(fps[:i]):
-            mine, held = {}, {}
-            for x, first in ((a, mine), (b, held)):
-                for at in range(len(x) - 1):
-                    first.setdefault((x[at], x[at + 1]), at)
-            votes = collections.Counter(mine[k] - held[k] for k in mine if k in held)
+            votes = collections.Counter(p - q for p in range(len(a) - 1) for q in where.get((j, a[p], a[p + 1]), ()))
             link = np.array_equal(a, b)
             if votes:
-                n, _, shift = max((v, -abs(s), s) for s, v in votes.items())
-                x, y = a[max(shift, 0) :], b[max(-shift, 0) :]
+                n, _, shift = max((v, -abs(s), -s) for s, v in votes.items())
+                x, y = a[max(-shift, 0) :], b[max(shift, 0) :]
                 m = min(len(x), len(y))
                 wrong = np.bitwise_count((x[:m] ^ y[:m]).view(np.uint32)).sum() / (32 * m)
-                link |= bool(n >= media.MIN_VOTES and m >= media.MIN_OVERLAP and wrong <= media.MAX_ERROR)
+                least = max(media.MIN_VOTES, math.ceil(media.SHARE * (min(len(a), len(b)) - 1)))
+                link |= bool(n >= least and m >= media.MIN_OVERLAP and wrong <= media.MAX_ERROR)
             if link:
                 n_links += 1
                 up[max(root(i), root(j))] = min(root(i), root(j))
@@ -223,6 +225,27 @@ def test_media_links_all(spark):
     assert {r.id: r.class_id for r in media.aligned(df).collect()} == {i: root(i) for i in range(len(fps))}
 
 
+def test_media_repeats_and_wav():
+    """Every place of a repeated key votes; WAV files are read by their chunks."""
+    rng = np.random.default_rng(12)
+    x = media.fingerprint(rng.integers(0, 256, 256 + 64 * 200, np.uint8).tobytes())
+    votes, shift, error = media.link(x, np.concatenate([x[:108], x]))
+    assert (votes, shift, error) == (len(x) - 1, -108, 0)
+    still = np.zeros(3000, np.int32)
+    assert media.link(still, still[:40])[:2] == (39, 0)
+    raw = rng.integers(-32768, 32768, (500, 2)).astype("<i2")
+    part = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    form = lambda channels, bits: part(b"fmt ", b"\1\0" + bytes([channels, 0]) + bytes(10) + bytes([bits, 0]))
+    wav = lambda *parts: b"RIFF" + bytes(4) + b"WAVE" + b"".join(parts)
+    got = media.samples(wav(part(b"LIST", b"data of no sound!"), form(2, 16), part(b"data", raw.tobytes()), part(b"tail", b"xx")))
+    assert np.allclose(got, raw.astype(float).mean(axis=1) / 32768, atol=1e-6)
+    eight = rng.integers(0, 256, 301, np.uint8).tobytes()
+    assert np.array_equal(media.samples(wav(form(1, 8), part(b"data", eight))), media.samples(eight))
+    for broken in (wav(), wav(form(1, 8)), wav(form(0, 8), part(b"data", eight)), wav(form(1, 7), part(b"data", eight)), b"RIFF"):
+        assert len(media.samples(broken)) == len(broken)
+    assert len(media.samples(wav(form(1, 8), b"data" + (1 << 30).to_bytes(4, "little") + eight))) == 301
+
+
 def test_media_short(spark):
     """Short recordings meet equal and altered ones at finer scales; the shortest meet equal ones."""
     rng = np.random.default_rng(11)
