@@ -25,18 +25,23 @@ def local_session(name: str = "sedge", cores: str = "8", shuffle: int = 8) -> Sp
     )
 
 
+_made: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor reaches.
 
-    Only where a session names none (tests, one machine) a temporary folder is made and set.
+    Only where a session names none (tests, one machine) a temporary folder is made, one for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="sedge-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="sedge-shared-")
+        spark.sparkContext.setCheckpointDir(_made[app])
+        atexit.register(shutil.rmtree, _made[app], ignore_errors=True)
+    return _made[app]
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
