@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sedge.llm.pieces import mixed
 from sedge.operators.components import components
 from sedge.session import stored
 
@@ -151,21 +152,24 @@ def scales_of(n: int) -> list[int]:
     return [k for k, least in enumerate(LEAST) if n >= least and (k == 0 or n < 2 * LEAST[k - 1])]
 
 
+_SCALED = "array<struct<scale:int,fp:array<int>>>"
+
+
 def fingerprints(media: DataFrame) -> DataFrame:
-    """media (id, media: binary) -> id, fp: array<int>, scaled: array of (scale, fp), digest: 16 bytes.
+    """media (id, media: binary) -> id, fp: array<int>, finer: array of (scale, fp), digest: 16 bytes.
 
-    Null, empty and short recordings have an empty fp; scaled holds the fingerprints to be aligned. The digest is of the first of
-    these, without one of the samples; null for null.
+    Null, empty and short recordings have an empty fp; finer holds the fingerprints to be aligned at scales after the first. The digest
+    is of the coarsest fingerprint to be aligned, without one of the samples; null for null.
     """
 
     def run(batches):
         for b in batches:
-            fps, scaled, digests = [], [], []
+            fps, finer, digests = [], [], []
             for m in b.column(1):
                 x = samples(m.as_py())
                 fps.append(packed(chroma(x)))
                 own = [(k, fps[-1] if k == 0 else packed(chroma(x, *SCALES[k]))) for k in scales_of(len(x))]
-                scaled.append([{"scale": k, "fp": fp} for k, fp in own])
+                finer.append([{"scale": k, "fp": fp} for k, fp in own if k])
                 if not m.is_valid:
                     digests.append(None)
                 elif own:
@@ -175,13 +179,13 @@ def fingerprints(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(fps, pa.list_(pa.int32())),
-                    pa.array(scaled, pa.list_(pa.struct([("scale", pa.int32()), ("fp", pa.list_(pa.int32()))]))), pa.array(digests, pa.binary()),
+                    pa.array(finer, pa.list_(pa.struct([("scale", pa.int32()), ("fp", pa.list_(pa.int32()))]))), pa.array(digests, pa.binary()),
                 ],
-                names=["id", "fp", "scaled", "digest"],
+                names=["id", "fp", "finer", "digest"],
             )
 
     return media.select(F.col("id").cast("long").alias("id"), F.col("media").cast("binary").alias("media")).mapInArrow(
-        run, "id long, fp array<int>, scaled array<struct<scale:int,fp:array<int>>>, digest binary"
+        run, f"id long, fp array<int>, finer {_SCALED}, digest binary"
     )
 
 
@@ -234,31 +238,44 @@ def link(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     return (votes, shift, error) if n >= MIN_OVERLAP and error <= MAX_ERROR else None
 
 
-def held_keys(recordings: DataFrame, rows: int = 1 << 16) -> DataFrame:
-    """recordings (id, scale, fp) -> id, scale, key: each different key of a recording once."""
+def key_hashes(fp: np.ndarray, scale: int, bits: int) -> np.ndarray:
+    """The keys of a fingerprint as numbers of so many bits; equal ones of different keys only add pairs to compare."""
+    with np.errstate(over="ignore"):
+        return (mixed(keys(fp).view(np.uint64) + np.uint64(scale) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _fingerprints_of(scaled: pa.ListScalar) -> list[tuple[int, np.ndarray]]:
+    """(scale, fp) of a row's array."""
+    of = scaled.values
+    return [(k, x.values.to_numpy(zero_copy_only=False)) for k, x in zip(of.field(0).to_pylist(), of.field(1))]
+
+
+def held_keys(recordings: DataFrame, bits: int, rows: int = 1 << 16) -> DataFrame:
+    """recordings (id, scaled) -> id, key: each different key of a recording once."""
 
     def run(batches):
         held, n = [], 0
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "scale", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "key"])
 
         for b in batches:
-            for i, scale, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                key = np.unique(keys(fp.values.to_numpy(zero_copy_only=False)))
-                held.append((np.full(len(key), i, np.int64), np.full(len(key), scale, np.int32), key))
-                n += len(key)
+            for i, scaled in zip(b.column(0).to_pylist(), b.column(1)):
+                for scale, fp in _fingerprints_of(scaled):
+                    key = np.unique(key_hashes(fp, scale, bits))
+                    held.append((np.full(len(key), i, np.int64), key))
+                    n += len(key)
                 if n >= rows:
                     yield batch()
                     held, n = [], 0
         if held:
             yield batch()
 
-    return recordings.select("id", "scale", "fp").mapInArrow(run, "id long, scale int, key long")
+    return recordings.select("id", "scaled").mapInArrow(run, "id long, key long")
 
 
-def probed(held: DataFrame) -> DataFrame:
-    """held (id, scale, fp, common: array of (key, holders)) -> id, scale, key, first, last (places), n (places of the recording), probe.
+def probed(held: DataFrame, bits: int) -> DataFrame:
+    """held (id, scaled, common: array of (key, holders)) -> id, scale, key, first, last (places), n (places of the recording), probe.
 
     A row for each common key of a recording; probe marks those of which a link to a recording at least as long must share one.
     Keys that only one recording holds come first among the probes and need no row.
@@ -266,33 +283,32 @@ def probed(held: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, scale, fp, common in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                key = keys(fp.values.to_numpy(zero_copy_only=False))
-                fields = common.values
-                known, holders = [fields.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
-                order = np.argsort(known)
-                known, holders = known[order], holders[order]
-                at = np.searchsorted(known, key)
-                mine = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == key)
-                of = at[mine]
-                times = np.bincount(of, minlength=len(known))
-                first, last = np.full(len(known), len(key)), np.zeros(len(known), np.int64)
-                np.minimum.at(first, of, mine)
-                np.maximum.at(last, of, mine)
-                rare = np.lexsort((known, holders))
-                before = np.empty(len(known), np.int64)
-                before[rare] = len(key) - len(mine) + np.cumsum(times[rare]) - times[rare]
-                probe = before < len(key) - needed(len(key)) + 1
-                k = len(known)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, scale, np.int32)), pa.array(known), pa.array(first.astype(np.int32)),
-                        pa.array(last.astype(np.int32)), pa.array(np.full(k, len(key), np.int32)), pa.array(probe),
-                    ],
-                    names=["id", "scale", "key", "first", "last", "n", "probe"],
-                )
-
-    return held.select("id", "scale", "fp", "common").mapInArrow(run, "id long, scale int, key long, first int, last int, n int, probe boolean")
+            for i, scaled, common in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                every, times_held = [common.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+                for scale, fp in _fingerprints_of(scaled):
+                    key = key_hashes(fp, scale, bits)
+                    own = np.isin(every, key)
+                    known, holders = every[own], times_held[own]
+                    order = np.argsort(known)
+                    known, holders, k = known[order], holders[order], len(known)
+                    mine = np.flatnonzero(np.isin(key, known))
+                    of = np.searchsorted(known, key[mine])
+                    times = np.bincount(of, minlength=k)
+                    first, last = np.full(k, len(key)), np.zeros(k, np.int64)
+                    np.minimum.at(first, of, mine)
+                    np.maximum.at(last, of, mine)
+                    rare = np.lexsort((known, holders))
+                    before = np.empty(k, np.int64)
+                    before[rare] = len(key) - len(mine) + np.cumsum(times[rare]) - times[rare]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, scale, np.int32)), pa.array(known), pa.array(first.astype(np.int32)),
+                            pa.array(last.astype(np.int32)), pa.array(np.full(k, len(key), np.int32)), pa.array(before < len(key) - needed(len(key)) + 1),
+                        ],
+                        names=["id", "scale", "key", "first", "last", "n", "probe"],
+                    )
+
+    return held.select("id", "scaled", "common").mapInArrow(run, "id long, scale int, key long, first int, last int, n int, probe boolean")
 
 
 def _may_overlap(a: str, b: str) -> Column:
@@ -328,17 +344,19 @@ def links(met: DataFrame, recordings: DataFrame) -> DataFrame:
 
 
 def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """recordings (id, scale, fp), of each id one for a scale -> (links that join the classes; node, root of all linked ones)."""
-    every = held_keys(recordings)
-    common = every.groupBy("scale", "key").agg(F.count("*").alias("holders")).where("holders > 1")
-    shared = every.join(common, ["scale", "key"])
-    of = shared.groupBy("id", "scale").agg(F.collect_list(F.struct("key", "holders")).alias("common"))  # at most a recording's own keys
+    """recordings (id, scaled), each id once -> (links that join the classes; node, root of all linked ones)."""
+    places = F.aggregate("scaled", F.lit(0).cast("long"), lambda n, x: n + F.size(x["fp"]))
+    total = recordings.agg(F.coalesce(F.sum(places), F.lit(0))).first()[0]
+    bits = min(64, total.bit_length() + 9)  # a key meets a different one of the same number in less than one of 512 cases
+    every = held_keys(recordings, bits)
+    common = every.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
+    of = every.join(common, "key").groupBy("id").agg(F.collect_list(F.struct("key", "holders")).alias("common"))  # at most a recording's own keys
     # Only recordings with a common key can be compared.
-    compared = stored(recordings.join(of, ["id", "scale"]).select("id", "scale", "fp", "common"), "compared")
-    rows = stored(probed(compared), "probed")
+    compared = stored(recordings.join(of, "id").select("id", "scaled", "common"), "compared")
+    rows = stored(probed(compared, bits), "probed")
     live = rows.groupBy("scale", "key").agg(F.max("probe").alias("live"), F.count("*").alias("n")).where("live and n > 1").select("scale", "key")
     rows = stored(rows.join(live, ["scale", "key"], "left_semi"), "keys")
-    prints = compared.select("id", "scale", "fp")
+    prints = compared.select("id", F.inline("scaled"))
     found, roots = None, None
     for r in range(rounds + 1):
         if roots is None:
@@ -379,11 +397,13 @@ def aligned(media: DataFrame) -> DataFrame:
     aren't aligned; of rows that repeat an id one, that of the least digest, is aligned for all of them; other columns are ignored.
     """
     prints = stored(fingerprints(media), "prints")
-    heard = prints.where("id is not null and digest is not null")
-    one = stored(heard.groupBy("id").agg(F.min(F.struct("digest", "scaled")).alias("x")).select("id", "x.digest", "x.scaled"), "recordings")
+    one = prints.where("id is not null and digest is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     least = one.groupBy("digest").agg(F.min("id").alias("rec"))
-    named = one.select("id", "digest").join(least, "digest").select("id", "rec")
-    found, roots = linked(one.join(least.select(F.col("rec").alias("id")), "id", "left_semi").select("id", F.inline("scaled")))
+    named = stored(one.join(least, "digest").select("id", "rec", "digest"), "named")
+    first = F.when(F.size("fp") >= MIN_OVERLAP, F.array(F.struct(F.lit(0).alias("scale"), "fp"))).otherwise(F.array().cast(_SCALED))
+    scaled = prints.select("id", "digest", F.concat(first, "finer").alias("scaled")).where(F.size("scaled") > 0)
+    chosen = named.where("id = rec").select("id", F.col("digest").alias("its"))
+    found, roots = linked(scaled.join(chosen, "id").where("digest = its").dropDuplicates(["id"]).select("id", "scaled"))
     match = found.groupBy("id").agg(F.max(F.struct("votes", (-F.col("to")).alias("less"), "to", "shift", "scale", "error")).alias("m"))
     known = (
         named.join(roots.select(F.col("node").alias("rec"), "root"), "rec", "left")
