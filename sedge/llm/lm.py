@@ -1,201 +1,137 @@
 """Stupid-backoff language model scores, from n-gram counts of all documents.
 
-A document's score is the mean over its words of log S(w | word before), where
+A document's score is the mean over its words of log S(word | words before), where S takes the longest context of at most
+ORDER - 1 words that other documents continue with the word:
 
-    S(w | v) = c(v w) / c(v)  if c(v w) > 0,  else  BACKOFF * (c(w) + 1) / (N + 1)
+    S(w | v) = BACKOFF ** (ORDER - 1 - length of v) * c(v w) / c(v)          for the longest v with c(v w) > 0
+    S(w)     = BACKOFF ** (ORDER - 1) * (c(w) + 1) / (N + 1)                 if there is none
 
-with counts c of the whole corpus less the document's own, so that a text isn't likely merely for being in it.
+with counts c (and words N) of the whole corpus less the document's own, so that a text isn't likely merely for being in it.
 
-The relation n-gram -> count is partitioned by hash. Documents are taken in blocks of some megabytes; a block's
-different n-grams (64-bit hashes, with their counts) are exploded to one row for each partition, each row an array: so
-n-grams are aggregated before they move, and a word of every document is one entry of a block. A partition joins its
-blocks with the sum of all of them and returns the totals in each block's order; a block joins these with its own
-documents and sums by document. Blocks and partitions are bounded in size, whatever a word's share of the corpus is.
+Everything is a relation. occurrences: a row (n-gram, document, times) for each different n-gram of a document, n-grams of
+all orders as 64-bit hashes. counts: occurrences summed by n-gram, in part before they move, so that a word of every
+document is one row for each task. Both meet in an equality join on the n-gram, whose large partitions adaptive execution
+splits; of n-grams that no other document has nothing is returned. What is returned is grouped by document, at most its own
+n-grams, and summed along its words. Nothing depends on the order of rows: documents are written once with a number.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sedge.llm.pieces import hashes, mixed
+from sedge.session import stored
 
-BACKOFF, BLOCK = 0.4, 4_000_000
+ORDER, BACKOFF, BLOCK = 3, 0.4, 4_000_000
 _SPACE = np.array([b in (32, 9, 10, 11, 12, 13) for b in range(256)])
 
 
-def _small(counts: np.ndarray) -> bytes:
-    """Counts, most of them 1, in few bytes."""
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+def word_hashes(raw: bytes, block: int = BLOCK) -> np.ndarray:
+    """The hash of each word of a text in order; a long text is taken in parts that end at white space."""
+    buf = np.frombuffer(raw, np.uint8)
+    found, at = [], 0
+    while at < len(buf):
+        end = min(at + block, len(buf))
+        while end < len(buf) and not (gap := _SPACE[buf[end : end + block]]).any():
+            end = min(end + block, len(buf))
+        if end < len(buf):
+            end += int(gap.argmax())
+        part = buf[at:end]
+        word = ~_SPACE[part]
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        found.append(hashes(part, edges[::2], edges[1::2]))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def grams(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length from 1 to order: the hash of the n-gram that each word ends, from the first word that ends one."""
+    made = [words]
+    for n in range(1, order):
+        before = made[-1][:-1]
+        made.append(mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + words[n:] + np.uint64(n)) if len(before) else np.zeros(0, np.uint64))
+    return made
+
+
+def occurrences(texts: DataFrame, order: int, rows: int = 1 << 16) -> DataFrame:
+    """texts (row, text) -> gram, row, times: the different n-grams of each text, of all lengths up to order."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1)):
+                gram, times = np.unique(np.concatenate(grams(word_hashes((t.as_py() or "").encode()), order)), return_counts=True)
+                held.append((gram.view(np.int64), np.full(len(gram), row, np.int64), times.astype(np.int32)))
+                n += len(gram)
+                if n >= rows:
+                    yield from _batches(held, rows)
+                    held, n = [], 0
+        yield from _batches(held, rows)
 
+    return texts.select("row", "text").mapInArrow(run, "gram long, row long, times int")
 
-def _counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), "<u4")
 
+def _batches(held: list, rows: int):
+    if held:
+        whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["gram", "row", "times"])
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts in order, number of words of each text)."""
-    raw = b"".join(r + b"\n" for r in raws)
-    if not raw:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    buf = np.frombuffer(raw, np.uint8)
-    space = _SPACE[buf]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
-    return hashes(buf, starts, ends), np.diff(np.searchsorted(starts, at))
-
-
-def grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, hash of the pair it ends, or 0 where it begins a text, the text it is in, number of words of each text)."""
-    one, n = word_hashes(raws)
-    two = np.zeros_like(one)
-    if len(one):
-        two[1:] = mixed(one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[1:])
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        two[first[n > 0]] = 0
-    return one, two, np.repeat(np.arange(len(raws)), n), n
-
-
-def _blocks(batches, size: int):
-    """(ids, texts as bytes) of some megabytes each."""
-    ids, raws, held = [], [], 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            ids.append(i)
-            raws.append((t.as_py() or "").encode())
-            held += len(raws[-1])
-            if held >= size:
-                yield ids, raws
-                ids, raws, held = [], [], 0
-    if ids:
-        yield ids, raws
-
-
-def _tables(raws: list[bytes]):
-    """The sorted different n-grams of a block, pairs and words in one table, and their counts."""
-    one, two, of, n = grams(raws)
-    gram, count = np.unique(np.concatenate([one, two[two != 0]]), return_counts=True)
-    return gram, count, (one, two, of, n)
-
-
-def scores(docs: DataFrame, partitions: int | None = None, block: int = BLOCK, backoff: float = BACKOFF) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_words, n_seen (pairs that other documents have), log_score (mean natural logarithm, null without words).
-
-    One row for each row. Null, empty and blank texts have no words; doc_id may be null or repeat (each row is a
-    document of its own); other columns are ignored. Words are runs without \\x20 and \\x09-\\x0D.
+
+def counts(found: DataFrame) -> DataFrame:
+    """occurrences -> gram, total: n-grams that at least two documents have, with the times they occur in all."""
+    return found.groupBy("gram").agg(F.sum("times").alias("total"), F.count("*").alias("documents")).where("documents > 1").select("gram", "total")
+
+
+def scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_words, n_seen (words that other documents have after the word before), log_score.
+
+    log_score is the mean natural logarithm, null without words. One row for each row. Null, empty and blank texts have no words; doc_id
+    may be null or repeat (each row is a document of its own); other columns are ignored; no rows give none. Words are runs without
+    \\x20 and \\x09-\\x0D. order is at least 1.
     """
-    spark = docs.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.col("text").cast("string")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-
-    def explode(batches):
-        part = TaskContext.get().partitionId()
-        for at, (_, raws) in enumerate(_blocks(batches, block)):
-            gram, count, (one, *_) = _tables(raws)
-            # gram is sorted: a partition is a range of it
-            edge = np.searchsorted(gram, np.array([min(i * (1 << 64) // p, (1 << 64) - 1) for i in range(p + 1)], np.uint64))
-            edge[-1] = len(gram)
-            rows = [(k, a, b) for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a]
-            for k, a, b in rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k], pa.int32()), pa.array([part], pa.int64()), pa.array([at], pa.int64()),
-                        pa.array([gram[a:b].tobytes()], pa.binary()), pa.array([_small(count[a:b])], pa.binary()),
-                    ],
-                    names=["k", "part", "at", "gram", "n"],
-                )
-
-    def total(batches):
-        # One partition of the count table after the other, as the rows are sorted by it.
-        held: list = []
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    held = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
+    corpus = held.select(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), F.lit(0))).first()[0]
+    found = occurrences(held, order)
+    others = found.join(counts(found), "gram").select("row", "gram", (F.col("total") - F.col("times")).alias("n"))
+    of = others.groupBy("row").agg(F.collect_list(F.struct("gram", "n")).alias("others"))
+
+    def finish(batches):
         for b in batches:
-            for k, part, at, g, n in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                if held and held[0][0] != k:
-                    yield from _joined(held)
-                    held = []
-                held.append((k, part, at, np.frombuffer(g, np.uint64), _counts(n)))
-        if held:
-            yield from _joined(held)
-
-    counted = (
-        source.mapInArrow(explode, "k int, part long, at long, gram binary, n binary")
-        .repartition(p, "k")
-        .sortWithinPartitions("k")
-        .mapInArrow(total, "part long, at long, k int, n binary")
-    )
-    corpus = source.select(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), F.lit(0))).first()[0]
-
-    def structure(batches):
-        part = TaskContext.get().partitionId()
-        for at, (ids, raws) in enumerate(_blocks(batches, block)):
+            out = []
+            for doc, t, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                words = word_hashes(t.as_py().encode())
+                fields = [known.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)] if known.is_valid else [np.zeros(0, np.int64)] * 2
+                out.append((doc, len(words), *_summed(grams(words, order), fields[0].view(np.uint64), fields[1], corpus - len(words), backoff)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([at], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([raws], pa.list_(pa.binary()))],
-                names=["part", "at", "ids", "raws"],
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "n_words", "n_seen", "log_score"]
             )
 
-    blocks = source.mapInArrow(structure, "part long, at long, ids array<long>, raws array<binary>")
-    gathered = counted.groupBy("part", "at").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("counts"))
-    met = blocks.join(gathered, ["part", "at"], "left").select("ids", "raws", "counts")
-
-    def finish(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                ids, raws = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                got = b.column(2)[i].as_py() or []
-                counts = np.concatenate([np.zeros(0), *[_counts(x["n"]) for x in got]])
-                yield _summed(ids, raws, counts, corpus, backoff)
-
-    return met.mapInArrow(finish, "doc_id long, n_words long, n_seen long, log_score double")
-
-
-def _joined(held):
-    """Totals of one partition's n-grams, for each block in its own order."""
-    grams_ = np.concatenate([h[3] for h in held])
-    _, of = np.unique(grams_, return_inverse=True)
-    n = np.bincount(of, weights=np.concatenate([h[4] for h in held]))[of].astype("<u4")
-    at = 0
-    for k, part, block, g, _ in held:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([k], pa.int32()), pa.array([_small(n[at : at + len(g)])], pa.binary())],
-            names=["part", "at", "k", "n"],
-        )
-        at += len(g)
-
-
-def _summed(ids, raws, counts, corpus: int, backoff: float) -> pa.RecordBatch:
-    gram, _, (one, two, of, n) = _tables(raws)
-    if len(gram) != len(counts):
-        raise RuntimeError("a block changed between two readings of its documents")
-    docs = len(ids)
-    seen, score = np.zeros(docs, np.int64), np.full(docs, np.nan)
-    if len(one):
-        def less_own(h):
-            """Counts of all other documents."""
-            k = np.searchsorted(gram, h)
-            key = of.astype(np.uint64) * np.uint64(len(gram) + 1) + k.astype(np.uint64)
-            _, inv, c = np.unique(key, return_inverse=True, return_counts=True)
-            return counts[k] - c[inv]
-
-        c1, pair = less_own(one), two != 0
-        c2 = np.zeros(len(one))
-        k2 = np.searchsorted(gram, two[pair])
-        key = of[pair].astype(np.uint64) * np.uint64(len(gram) + 1) + k2.astype(np.uint64)
-        _, inv, c = np.unique(key, return_inverse=True, return_counts=True)
-        c2[pair] = counts[k2] - c[inv]
-        before = np.concatenate([[0.0], c1[:-1]])
-        has = c2 > 0
-        others = (corpus - n)[of]
-        logs = np.log(np.where(has, c2 / np.where(has, before, 1), backoff * (c1 + 1) / (others + 1)))
-        seen = np.bincount(of, weights=has, minlength=docs).astype(np.int64)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            score = np.bincount(of, weights=logs, minlength=docs) / n
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(seen), pa.array([None if x != x else x for x in score.tolist()], pa.float64())],
-        names=["doc_id", "n_words", "n_seen", "log_score"],
-    )
+    return held.join(of, "row", "left").select("doc_id", "text", "others").mapInArrow(finish, "doc_id long, n_words long, n_seen long, log_score double")
+
+
+def _summed(made: list[np.ndarray], known: np.ndarray, n: np.ndarray, rest: int, backoff: float) -> tuple[int, float | None]:
+    """(n_seen, log_score) of one text: made are its n-grams, n the counts in other documents of those known; rest: all other words."""
+    words, order = len(made[0]), len(made)
+    if not words:
+        return 0, None
+    by = np.argsort(known)
+    known, n = np.append(known[by], np.uint64(0)), np.append(n[by], 0)
+
+    def count(gram: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known[:-1], gram)
+        return np.where(known[at] == gram, n[at], 0)
+
+    c = [count(g) for g in made]
+    logs = np.log((c[0] + 1) / (rest + 1)) + (order - 1) * np.log(backoff)
+    seen = np.zeros(words, bool)
+    for k in range(1, order):  # longer contexts take over where other documents have them
+        has = np.flatnonzero(c[k] > 0)
+        logs[has + k] = np.log(c[k][has] / c[k - 1][has]) + (order - 1 - k) * np.log(backoff)
+        seen[has + k] = True
+    return int(seen.sum()), float(logs.mean())
