@@ -109,7 +109,8 @@ def scan(text: str) -> list[Span]:
         found += [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x) <= 3 or len(x.lstrip("0")) <= 3 for x in m[0].split(".")) and all(int(x) <= 255 for x in m[0].split(".")):
+            parts = [x.lstrip("0") for x in m[0].split(".")]
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in parts):
                 found.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
