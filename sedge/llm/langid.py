@@ -1,27 +1,25 @@
 """Language of texts, in two steps: the family first, then one-versus-one linear SVMs between its languages.
 
 Features are the square roots of the shares of letter trigrams (bytes of lower-cased UTF-8, all else a space), hashed to
-BINS. The models learn from a bounded sample, at most SAMPLE documents a language, spread by a hash of doc_id; a
-prediction sees the text alone, all of it.
+BINS. The models learn from a bounded sample: of each language at most SAMPLE documents, and fewer if all languages together would
+have more than MOST, the least by a hash of doc_id; a prediction sees the text alone, all of it.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS, SAMPLE, LANGUAGES = 4096, 300, 256
+BINS, SAMPLE, MOST = 4096, 300, 20_000
 #: Families known beforehand; a language of none is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "sv", "yi"),
     "romance": ("ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"),
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
 
@@ -31,7 +29,7 @@ def family(lang: str) -> str:
 
 def features(text: str | None) -> np.ndarray | None:
     """The feature vector of a text, of length 1; None without a letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     b = _KEEP[np.frombuffer(f"  {text.lower()}  ".encode(), np.uint8)]
     code = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)
@@ -110,17 +108,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from docs (doc_id, text, lang) that are not held out and have a lang; at most LANGUAGES of them, the most frequent."""
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
+    """A model from docs (doc_id, text, lang) that are not held out and have a lang: of every language at most `sample` documents.
+
+    With more than most / sample languages each has most / languages, one at least. Of rows that repeat a doc_id the one with the least hash of its text counts first.
+    """
     known = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model([], np.zeros((0, BINS), np.float32), np.array([]))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000))
-    wanted = None
-    for c in counts:
-        one = (F.col("lang") == c["lang"]) & (draw < int(min(1.0, 3 * sample / c["count"]) * 1_000_000) + 1)
-        wanted = one if wanted is None else wanted | one
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    languages = known.select("lang").distinct().count()
+    each = max(1, min(sample, most // max(1, languages)))
+    by = [F.xxhash64(F.lit("language"), "id"), "id", "print"]
+    places = known.select("lang", "id", F.xxhash64("text").alias("print")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*by)))
+    chosen = places.where(F.col("place") <= each)  # at most `most` rows, or one a language
 
     def run(batches):
         for b in batches:
@@ -130,14 +129,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 names=["lang", "at", "x"],
             )
 
-    drawn = known.where(wanted).select(F.col("lang").cast("string").alias("lang"), draw.alias("at"), F.col("text").cast("string").alias("text"))
-    rows = drawn.mapInArrow(run, "lang string, at long, x binary").limit(4 * sample * len(counts)).collect()
-    own: dict[str, list] = {}
-    for r in rows:
-        own.setdefault(r.lang, []).append((r.at, bytes(r.x)))
-    kept = [(lang, x) for lang, of in sorted(own.items()) for _, x in sorted(of)[:sample]]
-    x = np.array([np.frombuffer(b, np.float16) for _, b in kept], np.float32).reshape(len(kept), BINS)
-    return Model(list(own), x, np.array([lang for lang, _ in kept]))
+    met = known.withColumn("print", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "id", "print"]).dropDuplicates(["lang", "place"])
+    rows = met.select("lang", F.col("place").cast("long").alias("at"), "text").mapInArrow(run, "lang string, at long, x binary").collect()
+    kept = sorted((r.lang, r.at, bytes(r.x)) for r in rows)
+    x = np.array([np.frombuffer(b, np.float16) for *_, b in kept], np.float32).reshape(len(kept), BINS)
+    lang = np.array([r[0] for r in kept])
+    return Model(sorted(set(lang.tolist())), x, lang)
 
 
 def predicted(spark, model: Model, text: Column) -> Column:
