@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sedge.llm.spans import Span, base_of, count_of, joined, spans_of
 
 KINDS = ("assign", "access", "hex", "random")
-RATIO, RANDOM_LEAST, RANDOM_CHUNK = 1.9, 20, 1024
+RATIO, RANDOM_LEAST = 1.9, 20
 #: Characters of a token that is taken for a word.
 WORD = 4
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -60,7 +60,7 @@ def encoding(path: str):
 def lengths(run: str, vocabulary: str) -> list[int]:
     """The characters of each token."""
     enc = encoding(vocabulary)
-    return [len(x) for i in range(0, len(run), RANDOM_CHUNK) for x in enc.decode_tokens_bytes(enc.encode_ordinary(run[i : i + RANDOM_CHUNK]))]
+    return [len(x) for x in enc.decode_tokens_bytes(enc.encode_ordinary(run))]
 
 
 def efficiency(run: str, vocabulary: str) -> float:
