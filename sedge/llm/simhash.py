@@ -153,7 +153,7 @@ def links(distinct: DataFrame, reach: int = REACH, shard: int = SHARD, depth: in
         depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
     want = SAMPLE * (1 << depth)  # bounded: 2**20 at most
     some = distinct.orderBy(F.xxhash64("fp")).limit(want) if depth else distinct.limit(0)
-    sample = np.array([x.fp for x in some.collect()], np.int64).view(np.uint64)
+    sample = some.select("fp").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     trees = spark.sparkContext.broadcast([build_tree(half(sample, w), depth) for w in (0, 1)])
 
     def route(batches):

@@ -1,6 +1,7 @@
 """The subpackage's operators against brute force, with nulls, empty and long texts, repeated rows, no rows and clashing columns."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -348,22 +349,108 @@ def test_secrets_joined_to_words():
         assert secretscan.scan(t, v) == []
 
 
-def test_lm(docs, none):
-    docs_ = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in TEXTS]
-    one, two = collections.Counter(), collections.Counter()
-    for _, w in docs_:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    n = sum(one.values())
+def plain_lm(rows, order):
+    """(doc_id, words, words after a known context, score) of each text, by stupid backoff over counters."""
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    own = [collections.Counter(tuple(w[k - n : k]) for n in range(1, order + 1) for k in range(n, len(w) + 1)) for _, w in texts]
+    total = sum(own, collections.Counter())
+    n_words = sum(len(w) for _, w in texts)
     want = collections.Counter()
-    for i, w in docs_:
-        a, b, total, seen = collections.Counter(w), collections.Counter(zip(w, w[1:])), 0.0, 0
-        for k, x in enumerate(w):
-            c = two[w[k - 1], x] - b[w[k - 1], x] if k else 0
-            seen += c > 0
-            total += math.log(c / (one[w[k - 1]] - a[w[k - 1]]) if c > 0 else 0.4 * (one[x] - a[x] + 1) / (n - len(w) + 1))
-        want[i, len(w), seen, round(total / len(w), 8) if w else None] += 1
-    for block in (1, 4_000_000):
-        got = collections.Counter((r.doc_id, r.n_words, r.n_seen, None if r.log_score is None else round(r.log_score, 8)) for r in lm.scores(docs, 3, block).collect())
-        assert got == want
+    for (i, w), mine in zip(texts, own):
+        left, seen, log = total - mine, 0, 0.0
+        for k in range(1, len(w) + 1):
+            for n in range(min(order, k), 0, -1):
+                gram = tuple(w[k - n : k])
+                if n == 1:
+                    log += math.log(0.4 ** (order - 1) * (left[gram] + 1) / (n_words - len(w) + 1))
+                elif left[gram]:
+                    log += math.log(0.4 ** (order - n) * left[gram] / left[gram[:-1]])
+                    seen += 1
+                    break
+        want[i, len(w), seen, round(log / len(w), 8) if w else None] += 1
+    return want
+
+
+def test_lm(spark, docs, none):
+    rng = np.random.default_rng(8)
+    more = [(100 + i, " ".join(rng.choice(["the", "cat", "saw", "a", "dog", "and", "ran"], rng.integers(1, 60)))) for i in range(40)] + [(100, TEXTS[0][1])]
+    clash = spark.createDataFrame([(i, t, i or 0, 1) for i, t in more], "doc_id long, text string, row long, gram int")
+    every = docs.select("doc_id", "text", F.lit(7).cast("long").alias("row"), F.lit(1).alias("gram")).unionByName(clash)
+    for order in (1, 2, 3, 4):
+        for given in (every, every.repartition(7)) if order == 3 else (every,):
+            got = collections.Counter((r.doc_id, r.n_words, r.n_seen, None if r.log_score is None else round(r.log_score, 8)) for r in lm.scores(given, order).collect())
+            assert got == plain_lm(TEXTS + more, order)
     assert lm.scores(none).count() == 0
+    for block in (1, 7, 100):
+        assert np.array_equal(lm.word_hashes(LONG.encode(), 1000 * block), lm.word_hashes(LONG.encode())) and np.array_equal(lm.word_hashes(b" ab  c\n", block), lm.word_hashes(b"ab c"))
+
+
+def plain_pii(t):
+    """The base spans of a text by the contract's own patterns."""
+    found = []
+    for k, (kind, pattern, test) in enumerate((
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= sum(map(str.isdigit, x)) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(re.sub("[^0-9]", "", x)[::-1])) % 10 == 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= sum(map(str.isdigit, x)) <= 15),
+    )):
+        found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, t) if test(m[0])]
+    return [x for *_, x in sorted(found)]
+
+
+def test_pii_base(spark):
+    """Counts, digests and spans of all base kinds on noise made of what they are made of, and on parts of thousands of digits."""
+    rng = np.random.default_rng(9)
+    atoms = ["4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "+49 (30) 123-4567", "+1", "1.2.3.4", "255.256.1.1", "a.b@c.de", "@", ".", " ", "-", "7", "é", "😀", "x", "00", "+", "("]
+    texts = ["".join(rng.choice(atoms, rng.integers(1, 40))) for _ in range(400)] + ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 5000, "9" * 6000 + ".1.1.1", "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.personal_data(df)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_pii(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in pii.KINDS[:4]] == [sum(x.startswith(k) for x in want) for k in pii.KINDS[:4]]
+        assert set(want) <= set(got[i].spans.split(",")) | {""}
+
+
+def test_secrets_base(spark):
+    rng = np.random.default_rng(10)
+    atoms = ["password", "Secret", "api_key", "APIKEY", "token", "passwd", '"', "'", " ", ":", "=", "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "K", "ſ", "/", "."]
+    texts = ["".join(rng.choice(atoms, rng.integers(1, 40))) for _ in range(400)]
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+    got = {r.doc_id: r for r in secretscan.digest(secretscan.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        found = [(m.start(), 0, m) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        want = [f"{secretscan.KINDS[k]}:{m.start()}:{m.end()}" for _, k, m in sorted(found, key=lambda x: x[:2])]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in secretscan.KINDS[:3]] == [sum(x.startswith(k) for x in want) for k in secretscan.KINDS[:3]]
+
+
+def test_secrets_long_runs():
+    """A run is judged whole, however long it is."""
+    v, rng = secretscan.default_vocabulary(), np.random.default_rng(13)
+    run = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789"), 5000))
+    enc = secretscan.encoding(v)
+    assert secretscan.efficiency(run, v) == 5000 / len(enc.encode_ordinary(run)) and [s[1:3] for s in secretscan.scan(f"x {run} y", v) if s[0] == "random"] == [(2, 5002)]
+
+
+def test_secrets_masked(spark):
+    rows = [(1, "my password = hunter2hunter2 and 😀 " + "0a" * 16), (2, None), (3, ""), (4, "nothing here")]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "i long, t string").select("i", secretscan.masked(F.col("t"))).collect()}
+    assert got == {1: "my " + "*" * 25 + " and 😀 " + "*" * 32, 2: None, 3: "", 4: "nothing here"}
+
+
+def test_language_letters_and_many_languages(spark):
+    """Letters are of Unicode's category L; no language is left out, and the sample doesn't depend on how rows lie."""
+    rng = np.random.default_rng(14)
+    names = [f"l{i:03d}" for i in range(300)]
+    rows = [(10 * i + k, " ".join(f"{n}{w}" for w in rng.choice(["ba", "ce", "di", "fo"], 30)).replace("0", "z").replace("1", "y").replace("2", "x").replace("3", "w").replace("4", "v").replace("5", "u").replace("6", "t").replace("7", "s").replace("8", "r").replace("9", "q"), n) for i, n in enumerate(names) for k in range(10)]
+    rows += [(rows[0][0], rows[0][1], rows[0][2])] * 50 + [(5_000_000, "½ ② Ⅷ ² 12", "l000"), (5_000_001, "日本語", None), (5_000_002, "word " * 200_000, "l001")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("place", F.lit(1)).withColumn("print", F.lit("x"))
+    model = langid.fit(df)
+    assert sum(map(len, model.families.values())) == 300
+    again = langid.fit(df.repartition(7))
+    assert model.keys == again.keys and np.array_equal(model.weights, again.weights)
+    got = {r.doc_id: r for r in langid.languages(df).collect()}
+    assert got[5_000_000].lang_pred == "und" and got[5_000_000].score == 0 and got[5_000_001].lang_pred in names and got[5_000_002].lang_pred in names
+    assert langid.languages(df).count() == len(rows)
