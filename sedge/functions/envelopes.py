@@ -67,11 +67,15 @@ def hmac_sha256(message: Column, key: bytes) -> Column:
     return F.unhex(F.sha2(F.concat(pad(0x5C), inner), 256))
 
 
+def flat(x: Column) -> Column:
+    """A text without case, diacritics and runs of white space."""
+    return F.trim(F.regexp_replace(T.fold(x), r"\s+", " "))
+
+
 def grams(x: Column) -> Column:
     """Different trigrams of a text without case, diacritics and runs of white space; a text of three or fewer is its own."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(T.fold(x), "[̀-ͯ]", ""), r"\s+", " "))
-    many = F.transform(F.sequence(F.lit(1), F.length(flat) - (GRAM - 1)), lambda i: F.substring(flat, i, F.lit(GRAM)))
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).when(F.length(flat) <= GRAM, F.array(flat)).otherwise(F.array_distinct(many))
+    none = F.array().cast("array<string>")
+    return T.let(flat(x), lambda f: F.when(F.length(f) == 0, none).when(F.length(f) <= GRAM, F.array(f)).otherwise(T.pieces(f, GRAM)))
 
 
 def search_tokens(x: Column, key: bytes, version: str) -> Column:

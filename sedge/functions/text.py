@@ -9,6 +9,16 @@ FOLDED = "àáảãạăằắẳẵặâầấẩẫậäåèéẻẽẹêề
 PLAIN = "aaaaaaaaaaaaaaaaaaaeeeeeeeeeeeeiiiiiiioooooooooooooooooouuuuuuuuuuuuuyyyyydcn"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value made once for a row however often use names it, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pieces(t: Column, n: int) -> Column:
+    """The different substrings of n characters; t has at least as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
+
+
 def js_round(x: Column) -> Column:
     """Half rounds towards plus infinity."""
     return F.floor(x + 0.5)
@@ -19,8 +29,8 @@ def symbol_key(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without the diacritics of FOLDED."""
-    return F.translate(F.lower(x), FOLDED, PLAIN)
+    """Lower case without the diacritics of FOLDED and without combining marks, so that decomposed letters fold too."""
+    return F.regexp_replace(F.translate(F.lower(x), FOLDED, PLAIN), r"\p{Mn}+", "")
 
 
 def words(x: Column) -> Column:
@@ -36,24 +46,21 @@ def content_words(x: Column, stop: list[str]) -> Column:
     return F.array_except(token_set(x), F.array(*[F.lit(s) for s in stop]))
 
 
+# Ending, letters of the shortest word that loses it, what takes its place, whether a doubled last letter is made single.
+ENDINGS = (("ies", 6, "y", False), ("ing", 7, "", True), ("ied", 6, "y", False), ("ed", 6, "", True), ("es", 6, "", False), ("s", 5, "", False))
+
+
 def _single_end(x: Column) -> Column:
     return F.regexp_replace(x, r"(.)\1$", "$1")
 
 
 def stem(w: Column) -> Column:
-    """A light English stemmer: plural and verb endings, doubled last letters."""
-    n = F.length(w)
-    cut = lambda k: F.substring(w, F.lit(1), n - k)
-    return (
-        F.when(n <= 4, w)
-        .when(w.endswith("ies") & (n > 5), F.concat(cut(3), F.lit("y")))
-        .when(w.endswith("ing") & (n > 6), _single_end(cut(3)))
-        .when(w.endswith("ied") & (n > 5), F.concat(cut(3), F.lit("y")))
-        .when(w.endswith("ed") & (n > 5), _single_end(cut(2)))
-        .when(w.endswith("es") & (n > 5), cut(2))
-        .when(w.endswith("s"), cut(1))
-        .otherwise(w)
-    )
+    """A light English stemmer: plural and verb endings, doubled last letters; the first ending of ENDINGS that fits is cut."""
+    out = w
+    for ending, least, put, single in reversed(ENDINGS):
+        bare = F.concat(F.substring(w, F.lit(1), F.length(w) - len(ending)), F.lit(put))
+        out = F.when(w.endswith(ending) & (F.length(w) >= least), _single_end(bare) if single else bare).otherwise(out)
+    return out
 
 
 def excerpt(x: Column, most: int) -> Column:
@@ -72,18 +79,38 @@ def token_estimate(x: Column) -> Column:
     return F.ceil(ascii_n / 4 + (F.length(x) - ascii_n) / 2.6)
 
 
+def ranges(x: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of a pattern's matches, leftmost and apart, in characters from 0."""
+    def at(gaps, found):
+        size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+        start = lambda i: size(F.slice(gaps, 1, i + 1)) + size(F.slice(found, 1, i))
+        return F.transform(found, lambda f, i: F.struct(start(i).alias("start"), (start(i) + F.length(f)).alias("end")))
+
+    return let(F.split(x, pattern, -1), lambda gaps: let(F.regexp_extract_all(x, F.lit(pattern), 0), lambda found: at(gaps, found)))
+
+
 def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) > 0)
 
 
+# What tells a page number in a running header or footer, and what takes its place.
+PAGE_MARKS = (
+    (r"(?<![\p{L}\p{N}_])(page|trang|p|pp)\.?\s*[0-9]+(?:\s*(?:of|/)\s*[0-9]+)?(?![\p{L}\p{N}_])", "$1 #"),
+    (r"^[0-9]+$", "#"), (r"\s*[0-9]+\s*$", " #"), (r"^\s*[0-9]+\s*", "# "), (r"[^\p{L}\p{N}_\s#]", ""),
+)
+
+
 def line_key(x: Column) -> Column:
-    """A line whatever its page numbers are."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]+", "#"), r"\s+", " "))
+    """A line without punctuation, whatever the page number in it or at its ends is; other numbers stay."""
+    out = F.trim(F.lower(x))
+    for mark, put in PAGE_MARKS:
+        out = F.regexp_replace(out, mark, put)
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def normal_url(x: Column) -> Column:
-    """Lower-case scheme and host, without fragment and last slash."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"#.*$", ""), r"/+$", "")
+    """An address in lower case without http or https, www. and one last slash; a fragment stays."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"^(https?://)?(www\.)?", ""), r"/$", "")
 
 
 def strip_markup(x: Column) -> Column:
@@ -94,20 +121,20 @@ def strip_markup(x: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+# Marks of a claim's markup, and what takes their place.
+CLAIM_MARKS = (
+    (r"\[\?\]", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"^\s*(?:#{1,6}|>|[-+*]|[0-9]+[.)])\s+", ""),
+    (r"[*_~`]+", ""), (r"<[^>]+>", " "), (r"\s+([,.;:!?])", "$1"), (r"\s+", " "),
+)
+
+
 def clean_claim(x: Column) -> Column:
-    """A claim without markdown, links, tags, bullets and citation marks."""
-    for pattern, to in (
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]*>", " "), (r"[*_`#>]+", ""), (r"(?m)^\s*[-•]\s+", ""), (r"\[[0-9?]+\]", ""), (r"\s+", " "),
-    ):
+    """A claim without markdown, links, tags, a leading bullet or number and open citation marks."""
+    for pattern, to in CLAIM_MARKS:
         x = F.regexp_replace(x, pattern, to)
     return F.trim(x)
 
 
-def fingerprint_words(x: Column, stop: list[str]) -> Column:
-    """The different content words of a text, sorted, as one string."""
-    return F.array_join(F.array_sort(content_words(x, stop)), " ")
-
-
 def isbn10(x: Column) -> Column:
     """Whether ten characters are an ISBN with the right check digit."""
     d = F.split(F.regexp_replace(x, "[ -]", ""), "")
@@ -153,8 +180,7 @@ def coverage(needle: Column, hay: Column) -> Column:
 
 def trigrams(x: Column) -> Column:
     """Different character trigrams of the folded text."""
-    t = F.regexp_replace(fold(x), r"\s+", " ")
-    return F.when(F.length(t) < 3, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))))
+    return let(F.regexp_replace(fold(x), r"\s+", " "), lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(pieces(t, 3)))
 
 
 def content_key(x: Column, prefix: str = "") -> Column:

@@ -7,12 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sedge.functions.text import js_round
 
 
-def lower_percentile(values: Column, q: float) -> Column:
-    """The element at floor((n - 1) q) of the sorted values of a group; an aggregate."""
-    a = F.sort_array(F.collect_list(values))
-    return F.element_at(a, (F.floor((F.size(a) - 1) * F.lit(q)) + 1).cast("int"))
-
-
 def nearest_rank(values: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {values})")
 
@@ -50,7 +44,8 @@ def interval_error(low: Column, high: Column, actual: Column) -> Column:
 def retrieval_metrics(cases: DataFrame) -> DataFrame:
     """cases (id, relevant, retrieved, forbidden: array<string>; claims: array<struct<text, citationIds, supported>>; relevance) -> one row of metrics each.
 
-    Nothing retrieved has precision 0; nothing relevant, recall 1; no claims, faithfulness and traceability 1.
+    Nothing retrieved has precision 0; nothing relevant, recall 1; no claims, faithfulness and traceability 1. A claim is faithful
+    if it is supported and cites only what was retrieved, something at least. relevance lies between 0 and 1; null stays null.
     """
     e = F.array().cast("array<string>")
     rel, got, bad = [F.coalesce(c, e) for c in ("relevant", "retrieved", "forbidden")]
@@ -63,13 +58,19 @@ def retrieval_metrics(cases: DataFrame) -> DataFrame:
         F.when(F.size(got) > 0, hits / F.size(got)).otherwise(0.0).alias("precision"),
         F.when(F.size(rel) > 0, F.size(F.array_intersect(rel, got)) / F.size(F.array_distinct(rel))).otherwise(1.0).alias("recall"),
         F.when(first > 0, 1 / first).otherwise(0.0).alias("reciprocal_rank"),
-        F.when(n > 0, F.size(F.filter("claims", lambda c: c["supported"])) / n).otherwise(1.0).alias("faithfulness"),
+        F.when(n > 0, F.size(F.filter(cited, lambda c: c["supported"])) / n).otherwise(1.0).alias("faithfulness"),
         F.when(n > 0, F.size(cited) / n).otherwise(1.0).alias("traceability"),
         (F.size(F.array_intersect(bad, got)) == 0).alias("privacy"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("relevance"))).alias("relevance"),
+        F.when(F.col("relevance").isNotNull() & ~F.isnan("relevance"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("relevance")))).alias("relevance"),
     )
 
 
+def metrics_summary(metrics: DataFrame) -> DataFrame:
+    """One row of the metrics' means over all cases (relevance: over those that have one) and the share of cases that keep privacy."""
+    means = [F.avg(c).alias(c) for c in ("precision", "recall", "reciprocal_rank", "faithfulness", "traceability", "relevance")]
+    return metrics.agg(F.count("*").alias("cases"), *means, F.avg(F.col("privacy").cast("int")).alias("privacy_rate"))
+
+
 # Points a day, bonus by length of the streak, most interest.
 DAY_POINTS, STREAK_BONUS, MOST_INTEREST = 10, ((10, 0), (30, 2), (90, 5), (180, 10), (270, 15)), 5
 

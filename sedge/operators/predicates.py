@@ -19,13 +19,19 @@ def visible_to(viewer, owner: Column, public: Column, privacy: Column) -> Column
     return shown if viewer is None else F.coalesce(owner == F.lit(viewer), F.lit(False)) | shown
 
 
+def level_or_label(level: Column, wanted, label: Column, old: list[str]) -> Column:
+    """The wanted level or, where a row has none, one of the labels used before."""
+    return F.coalesce(level == F.lit(wanted), F.lit(False)) | (level.isNull() & F.coalesce(label.isin(old), F.lit(False)))
+
+
 def phrase(c: Column, query: str) -> Column:
     """Whether c holds the query's words in turn, in any case, with any white space between them."""
     return c.rlike("(?i)" + r"\s+".join(re.escape(w) for w in query.split()))
 
 
 def any_column_like(columns: list[Column], query: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(c.ilike(f"%{query}%"), F.lit(False)) for c in columns])
+    """Whether one of the columns holds the query as it is written, in any case."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lower(F.lit(query))), F.lit(False)) for c in columns])
 
 
 def holds_all(array: Column, wanted: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sedge.operators.ordered import first_wins
+from sedge.session import stored
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -29,16 +30,38 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
 
 
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many rows of a are lost in b, and how many are added there, repeats counted."""
+    b = b.select(*a.columns)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(a.exceptAll(b), "lost").crossJoin(count(b.exceptAll(a), "added"))  # one row each
+
+
+def below(tree: DataFrame, root: Column, most: int = 1000) -> DataFrame:
+    """The ids of a tree's rows (id, parent) for which root holds, and of all below them; one round for each level."""
+    edges = stored(tree.select("id", "parent", F.coalesce(root, F.lit(False)).alias("root")), "tree")
+    found = level = stored(edges.where("root").select("id").distinct(), "level")
+    for _ in range(most):
+        level = edges.join(level.withColumnRenamed("id", "parent"), "parent").select("id").distinct().join(found, "id", "left_anti")
+        level = stored(level, "level")
+        if level.isEmpty():
+            return found
+        found = found.union(level)
+    raise RuntimeError(f"the tree has more than {most} levels")
+
+
 def digest(df: DataFrame, by: list[str], order: Column, value: Column) -> DataFrame:
     """sha256 of each group's values in order, with a line feed between them."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda s: s["v"])
     return df.groupBy(*by).agg(F.sha2(F.array_join(rows, "\n"), 256).alias("digest"))
 
 
-def keyset_page(df: DataFrame, at: str, cursor, limit: int, tie: str | None = None) -> DataFrame:
-    """The page after the cursor, newest first; one row more than the limit tells that there is a next page."""
-    df = df if cursor is None else df.where(F.col(at) < F.lit(cursor))
-    return df.orderBy(F.desc(at), *([F.desc(tie)] if tie else [])).limit(limit + 1)
+def keyset_page(df: DataFrame, at: str, cursor: tuple | None, limit: int, tie: str) -> DataFrame:
+    """The page after the cursor, the (at, tie) of the last row seen, newest first; one row more than the limit tells that there is a next page."""
+    if cursor is not None:
+        last, last_tie = map(F.lit, cursor)
+        df = df.where((F.col(at) <= last) & ((F.col(at) < last) | (F.col(tie) < last_tie)))
+    return df.orderBy(F.desc(at), F.desc(tie)).limit(limit + 1)
 
 
 def offset_page(df: DataFrame, order: list, page: int, size: int) -> DataFrame:

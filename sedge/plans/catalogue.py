@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from sedge.plans import private, relational, textual
+from sedge.plans import application, private, relational, textual
 
-QUERIES = relational.QUERIES | textual.QUERIES | private.QUERIES
-ORACLE_SQL = relational.SQL | textual.SQL | private.SQL
+QUERIES = relational.QUERIES | textual.QUERIES | private.QUERIES | application.QUERIES
+ORACLE_SQL = relational.SQL | textual.SQL | private.SQL | application.SQL

@@ -35,7 +35,12 @@ def sealed_messages(s, d):
 
 
 @query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS x FROM conversations)
-WHERE contains(x, 'the') AND contains(x, 'he ') AND contains(x, 'e a')""")
+WHERE contains(x, 'the a')""")
 def blind_index_search(s, d):
+    """Rows whose tokens hold the query's; these few are opened and compared with its text."""
     tokens = lambda x: envelopes.search_tokens(x, KEYS["v1"], "v1")
-    return t(s, d, "conversations").where(envelopes.may_hold(tokens(F.col("text")), tokens(F.lit("The  á")))).select("conv_id", "turn")
+    query, context = "The  á", [F.lit("message"), F.col("conv_id"), F.col("turn")]
+    held = t(s, d, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("tokens"), envelopes.sealed(F.col("text"), context, KEYS, "v1").alias("e"))
+    found = held.where(envelopes.may_hold(F.col("tokens"), tokens(F.lit(query))))
+    text = envelopes.flat(envelopes.opened(F.col("e"), context, KEYS))
+    return found.where(F.contains(text, envelopes.flat(F.lit(query)))).select("conv_id", "turn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F, Window
 
 from sedge.functions import text as T
@@ -46,11 +48,12 @@ def phrase_range_counts(s, d):
     return x.where("n > 0")
 
 
-@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus IS DISTINCT FROM 'F'
-ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21""")
+@query("""SELECT o_orderkey, o_orderstatus FROM (SELECT *, date_trunc('month', o_orderdate) AS mon FROM orders) WHERE o_orderstatus IS DISTINCT FROM 'F'
+AND (mon < TIMESTAMP '1996-12-01' OR mon = TIMESTAMP '1996-12-01' AND o_orderkey < 800) ORDER BY mon DESC, o_orderkey DESC LIMIT 21""")
 def keyset_page(s, d):
-    o = t(s, d, "orders").where(P.differs(F.col("o_orderstatus"), "F")).where("o_orderdate < timestamp_ntz'1997-01-01'")
-    return K.keyset_page(o, "o_orderdate", None, 20, "o_orderkey").select("o_orderkey", "o_orderstatus")
+    """The page after a row in the middle of many with the same time."""
+    o = t(s, d, "orders").where(P.differs(F.col("o_orderstatus"), "F")).withColumn("at", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz"))
+    return K.keyset_page(o, "at", (dt.datetime(1996, 12, 1), 800), 20, "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
@@ -73,14 +76,12 @@ def status_counts_zero_filled(s, d):
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (WHERE user_id % 2 = 0) AS own, count(DISTINCT user_id) AS users,
 array_to_string(list_sort(list(event_id))[1:3], ',') AS first3 FROM events GROUP BY event_type""")
 def three_key_group_pivot(s, d):
+    """Counts from partial sums; the first three of each type from a window that passes on three rows a task."""
     owner = F.when(F.col("user_id") % 2 == 0, "personal").otherwise("public")
-    e = t(s, d, "events").withColumn("owner", owner)
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    e = e.select("event_type", "user_id", "owner", "event_id", F.row_number().over(w).alias("rn"))
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.sum((F.col("owner") == "personal").cast("long")).alias("own"), F.count_distinct("user_id").alias("users"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.col("event_id")))), ",").alias("first3"),
-    )
+    e = t(s, d, "events").select("event_type", "user_id", owner.alias("owner"), "event_id")
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("owner") == "personal").cast("long")).alias("own"), F.count_distinct("user_id").alias("users"))
+    first = O.top_n(e.select("event_type", "event_id"), ["event_type"], ["event_id"], 3).groupBy("event_type")
+    return sums.join(first.agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("first3")), "event_type")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) rn, count(*) OVER (PARTITION BY l_orderkey) n FROM lineitem)
@@ -210,12 +211,16 @@ def trailing_window_limit(s, d):
     return e.select("event_id", F.count("*").over(w).alias("n")).withColumn("allowed", F.col("n") <= 3)
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT user_id, min(ts) AS opened FROM events GROUP BY 1 UNION ALL
+SELECT e.user_id, min(e.ts) FROM o JOIN events e ON e.user_id = o.user_id AND e.ts >= o.opened + INTERVAL 86400 SECONDS GROUP BY e.user_id),
+x AS (SELECT e.event_id, e.user_id AS key, e.ts AS "at", max(o.opened) AS opened FROM events e JOIN o ON o.user_id = e.user_id AND o.opened <= e.ts GROUP BY 1, 2, 3)
+SELECT key, "at", opened, row_number() OVER (PARTITION BY key, opened ORDER BY "at") AS count, row_number() OVER (PARTITION BY key, opened ORDER BY "at") <= 2 AS allowed FROM x""")
 def first_event_fixed_window(s, d):
     return O.first_event_windows(t(s, d, "events"), "user_id", "ts", 86_400, 2)
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, CAST(ts AS DATE) AS day FROM events), a AS (SELECT user_id, day, min(ts) AS t FROM e GROUP BY 1, 2 UNION ALL
+SELECT e.user_id, e.day, min(e.ts) FROM a JOIN e ON e.user_id = a.user_id AND e.day = a.day AND e.ts >= a.t + INTERVAL 3600 SECONDS GROUP BY 1, 2) SELECT user_id AS key, t AS "at" FROM a""")
 def accepted_heartbeats(s, d):
     return O.accepted(t(s, d, "events"), "user_id", "ts", 3600)
 

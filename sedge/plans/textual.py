@@ -57,13 +57,19 @@ g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM w, LATERA
 b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark), h AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM b, LATERAL unnest(range(1, len(w) - 6)) r(i))
 SELECT item_id, doc_id, count(*) AS n FROM g JOIN h USING (g) GROUP BY 1, 2""")
 def benchmark_contamination(s, d):
-    def grams(df, key):
-        w = F.split(T.symbol_key(F.col("text")), " ")
-        x = df.select(key, w.alias("w")).where(F.size("w") >= 8)
-        g = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
-        return x.select(key, F.explode(F.array_distinct(g)).alias("g"))
+    """8-grams meet by their hash; the words of the few that meet are then compared."""
 
-    return grams(t(s, d, "documents"), "doc_id").join(grams(t(s, d, "benchmark"), "item_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    def words(df, key):
+        return df.select(key, F.split(T.symbol_key(F.col("text")), " ").alias("w")).where(F.size("w") >= 8)
+
+    def grams(df, key, at):
+        g = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.slice("w", i, 8)))
+        return words(df, key).select(key, F.posexplode(g).alias(at, "h"))
+
+    docs, items = t(s, d, "documents"), t(s, d, "benchmark")
+    met = grams(docs, "doc_id", "i").join(grams(items, "item_id", "j"), "h").join(words(items, "item_id").withColumnRenamed("w", "v"), "item_id")
+    met = met.join(words(docs, "doc_id"), "doc_id").withColumn("g", F.slice("w", F.col("i") + 1, 8)).where(F.col("g") == F.slice("v", F.col("j") + 1, 8))
+    return met.groupBy("item_id", "doc_id").agg(F.count_distinct("g").alias("n"))
 
 
 COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
@@ -105,9 +111,12 @@ def sliding_chunks(s, d):
     return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.size("tokens").cast("long").alias("n"))
 
 
-@query(None)
+@query("""WITH RECURSIVE x AS (SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 0)) AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r AS (SELECT conv_id, turn, n, rn, n AS held, CAST(0 AS BIGINT) AS bin FROM x WHERE rn = 1 UNION ALL
+SELECT x.conv_id, x.turn, x.n, x.rn, CASE WHEN r.held > 0 AND r.held + x.n > 120 THEN x.n ELSE r.held + x.n END, CASE WHEN r.held > 0 AND r.held + x.n > 120 THEN r.bin + 1 ELSE r.bin END FROM r JOIN x ON x.conv_id = r.conv_id AND x.rn = r.rn + 1)
+SELECT conv_id, turn, n, bin FROM r""")
 def greedy_chunks(s, d):
-    x = t(s, d, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).alias("n"))
+    x = t(s, d, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).cast("long").alias("n"))
     return O.packed(x, "conv_id", "turn", "n", 120)
 
 
@@ -132,7 +141,9 @@ def form_dominance(s, d):
     return g.where("n > 1 and top >= 3 and top >= 1.5 * next").select("skeleton", "n", "forms", "dominant")
 
 
-@query("""SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2""")
+@query("""SELECT line, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(l)),
+'(^|[^\\p{L}\\p{N}_])(page|trang|p|pp)\\.?\\s*[0-9]+(\\s*(of|/)\\s*[0-9]+)?($|[^\\p{L}\\p{N}_])', '\\1\\2 #\\5', 'g'), '^[0-9]+$', '#'), '\\s*[0-9]+\\s*$', ' #'), '^\\s*[0-9]+\\s*', '# '),
+'[^\\p{L}\\p{N}_\\s#]', '', 'g'), '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2""")
 def repeated_lines(s, d):
     x = t(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", T.line_key(F.col("l")).alias("line")).where("line <> ''")
     return x.groupBy("line").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 2")
@@ -160,21 +171,48 @@ def content_digest(s, d):
 SELECT doc_id, lang FROM p ORDER BY late, doc_id LIMIT 50""")
 def lang_balanced_sample(s, d):
     x = t(s, d, "documents").where(F.col("lang").isin("en", "de")).select("doc_id", "lang")
-    r = x.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    r = x.withColumn("rn", F.row_number().over(w)).where("rn <= 50")  # no more of one can be wanted
     return r.orderBy(F.when(F.col("rn") <= 25, 0).otherwise(1), "doc_id").limit(50).select("doc_id", "lang")
 
 
-@query("""WITH g AS (SELECT source, count(*) FILTER (WHERE quality = 1) AS rel, count(*) AS got, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS hit, min(CASE WHEN quality = 1 THEN rn END) AS first FROM (
-SELECT d.source, l.quality, l.toxic, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS rn FROM documents d JOIN labels l USING (doc_id)) GROUP BY source)
-SELECT source, round(rel / got, 6) AS precision, CASE WHEN rel > 0 THEN 1.0 ELSE 1.0 END AS recall, round(CASE WHEN first IS NULL THEN 0 ELSE 1.0 / first END, 6) AS reciprocal_rank FROM g""")
+def _cases(s, d):
+    """A case for each user: parts of orders they should have seen (large amounts), the first 12 they saw, returned ones forbidden, a claim for each order."""
+    l = t(s, d, "lineitem").join(t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"), "o_orderstatus", "o_totalprice"), "l_orderkey")
+    part = F.col("l_partkey").cast("string")
+    shown = O.top_n(l, ["id"], ["l_shipdate", "l_orderkey", "l_linenumber"], 12).select("id", F.struct("l_shipdate", "l_orderkey", "l_linenumber", part.alias("part")).alias("x"))
+    retrieved = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"])
+    claims = l.groupBy("id", "l_orderkey", "o_orderstatus").agg(F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 35, part))).alias("citationIds"))
+    claims = claims.groupBy("id").agg(F.collect_list(F.struct(F.col("l_orderkey").cast("string").alias("text"), "citationIds", (F.col("o_orderstatus") == "F").alias("supported"))).alias("claims"))
+    marked = l.groupBy("id").agg(
+        F.collect_set(F.when(F.col("l_extendedprice") > 60_000, part)).alias("relevant"), F.collect_set(F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09), part)).alias("forbidden"),
+        F.when(F.max("o_totalprice") > 150_000, F.max("o_totalprice") / 300_000).alias("relevance"),
+    )
+    return marked.join(shown.groupBy("id").agg(retrieved.alias("retrieved")), "id").join(claims, "id")
+
+
+RAG_SQL = """WITH l AS (SELECT o_custkey AS id, o_orderstatus, o_totalprice, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+got AS (SELECT id, l_partkey AS part, row_number() OVER (PARTITION BY id ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM l QUALIFY rn <= 12),
+rel AS (SELECT DISTINCT id, l_partkey AS part FROM l WHERE l_extendedprice > 60000), bad AS (SELECT DISTINCT id, l_partkey AS part FROM l WHERE l_returnflag = 'R' AND l_discount > 0.09),
+cite AS (SELECT id, l_orderkey, o_orderstatus, count(*) FILTER (WHERE l_quantity > 35) AS n, count(*) FILTER (WHERE l_quantity > 35 AND NOT EXISTS (SELECT 1 FROM got WHERE got.id = l.id AND got.part = l.l_partkey)) AS lost FROM l GROUP BY 1, 2, 3),
+claim AS (SELECT id, avg(CASE WHEN n > 0 AND lost = 0 AND o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS faithfulness, avg(CASE WHEN n > 0 AND lost = 0 THEN 1.0 ELSE 0 END) AS traceability FROM cite GROUP BY id),
+hits AS (SELECT got.id, count(*) AS n, count(rel.part) AS good, count(DISTINCT rel.part) AS found, min(CASE WHEN rel.part IS NOT NULL THEN rn END) AS first, count(bad.part) AS leaked FROM got LEFT JOIN rel USING (id, part) LEFT JOIN bad USING (id, part) GROUP BY got.id),
+wanted AS (SELECT id, count(*) AS n FROM rel GROUP BY id), best AS (SELECT id, max(o_totalprice) AS top FROM l GROUP BY id),
+m AS (SELECT hits.id, good / hits.n AS precision, coalesce(found / wanted.n, 1.0) AS recall, coalesce(1.0 / first, 0) AS reciprocal_rank, faithfulness, traceability, leaked = 0 AS privacy,
+CASE WHEN top > 150000 THEN least(1.0, top / 300000) END AS relevance FROM hits JOIN claim USING (id) JOIN best USING (id) LEFT JOIN wanted USING (id))
+"""
+ROUNDED = ("precision", "recall", "reciprocal_rank", "faithfulness", "traceability", "relevance")
+
+
+@query(RAG_SQL + "SELECT id, privacy, " + ", ".join(f"round({c}, 6) AS {c}" for c in ROUNDED) + " FROM m")
 def rag_metrics(s, d):
-    x = t(s, d, "documents").select("doc_id", "source").join(t(s, d, "labels"), "doc_id")
-    cid = F.col("doc_id").cast("string")
-    ranked = F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string"))
-    cases = x.groupBy(F.col("source").alias("id")).agg(F.collect_list(F.when(F.col("quality") == 1, cid)).alias("relevant"), ranked.alias("retrieved"))
-    claims = F.array().cast("array<struct<text:string,citationIds:array<string>,supported:boolean>>")
-    cases = cases.withColumn("forbidden", F.array().cast("array<string>")).withColumn("claims", claims).withColumn("relevance", F.lit(1.0))
-    return E.retrieval_metrics(cases).select(F.col("id").alias("source"), F.round("precision", 6).alias("precision"), "recall", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return E.retrieval_metrics(_cases(s, d)).select("id", "privacy", *[F.round(c, 6).alias(c) for c in ROUNDED])
+
+
+@query(RAG_SQL + "SELECT count(*) AS cases, round(avg(CASE WHEN privacy THEN 1.0 ELSE 0 END), 6) AS privacy_rate, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ROUNDED) + " FROM m")
+def rag_summary(s, d):
+    m = E.metrics_summary(E.retrieval_metrics(_cases(s, d)))
+    return m.select("cases", F.round("privacy_rate", 6).alias("privacy_rate"), *[F.round(c, 6).alias(c) for c in ROUNDED])
 
 
 @query("""SELECT doc_id, CASE WHEN length(x) > 80 THEN substr(x, 1, 79) || '…' ELSE x END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents)""")
@@ -211,7 +249,7 @@ def lexical_overlap_pairs(s, d):
     return g.select("a", "b", F.round(F.col("c") / F.least("na", "nb"), 6).alias("overlap")).where("overlap >= 0.1")
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '/+$', '') AS url FROM pages")
+@query("SELECT page_id, CASE WHEN u[-1:] = '/' THEN u[1:-2] ELSE u END AS url FROM (SELECT page_id, CASE WHEN starts_with(v, 'www.') THEN v[5:] ELSE v END AS u FROM (SELECT page_id, CASE WHEN starts_with(x, 'https://') THEN x[9:] WHEN starts_with(x, 'http://') THEN x[8:] ELSE x END AS v FROM (SELECT page_id, lower(trim(url)) AS x FROM pages)))")
 def normal_urls(s, d):
     return t(s, d, "pages").select("page_id", T.normal_url(F.col("url")).alias("url"))
 

@@ -30,11 +30,13 @@ def test_text(spark):
     assert one(spark, T.js_round(c), t=-2.5) == -2
     assert one(spark, T.isbn10(c), t="0-306-40615-2") and not one(spark, T.isbn10(c), t="0-306-40615-3")
     assert one(spark, T.isbn13(c), t="978-0-306-40615-7") and not one(spark, T.isbn13(c), t="978-0-306-40615-8")
-    assert one(spark, T.clean_claim(c), t="- **Bold** [link](http://x) says [3]") == "Bold link says"
+    assert one(spark, T.clean_claim(c), t="- **Bold** [link](http://x) says  <b>so</b> [?] .") == "Bold link says so."
     assert one(spark, T.redacted(c), t='Bearer abc.def otp 123456 {"token": "x"}') == 'Bearer [REDACTED] otp [REDACTED] {"token": "[REDACTED]"}'
     assert one(spark, T.redacted(c), t="call 123456") == "call 123456"
     assert one(spark, T.sentences(c), t="One. Two!\nThree") == ["One.", "Two!", "Three"]
-    assert one(spark, T.line_key(c), t="Page 3 of  9") == "page # of #"
+    for line, key in (("Page 3 of  9", "page #"), ("12", "#"), ("Total 45 of 60 items, 7", "total 45 of 60 items #"), ("3 Results: p. 4/9 (x)", "# results p # x"), ("stop 3a", "stop 3a")):
+        assert one(spark, T.line_key(c), t=line) == key
+    assert one(spark, T.fold(c), t="E\u0302\u0301 đ") == "e d" and one(spark, T.normal_url(c), t=" HTTPS://www.X.org/a/#b/ ") == "x.org/a/#b"
     assert one(spark, T.strip_markup(c), t="<b>a</b> &amp; b") == "a & b"
 
 
