@@ -10,9 +10,10 @@ each with Hamming distance over one half as its metric and a radius of 1, find e
 fingerprints: an inner node holds a vantage point v and a radius r; points with d(x, v) <= r go inside. By the
 triangle inequality a point within 1 of x lies inside only if d(x, v) - 1 <= r, outside only if d(x, v) + 1 > r.
 Each fingerprint has one home leaf (a shard) and visits every leaf that these bounds leave open. In a shard, home
-points meet home points and visitors, with the full 64-bit distance; only the shard's connected components
+points meet home points and visitors, by the same kind of tree over the shard's own home, whose leaves hold some LEAF
+points, and with the full 64-bit distance in these; only the shard's connected components
 leave it, as stars, never its pairs. A shard whose home is too large is dealt to blocks, and its points visit
-the other blocks: nothing is cut. Leaves number at most 2**DEPTH, so the tree's broadcast is bounded (1.5 MB).
+the other blocks: nothing is cut. Leaves number at most 2**DEPTH, so the outer trees' broadcast is bounded (1.5 MB).
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from sedge.session import stored
 
 #: Bits that may differ; words of a shingle.
 REACH, WORDS = 3, 3
-#: Fingerprints wanted in a shard, the deepest tree, fingerprints sampled for each leaf.
-SHARD, DEPTH, SAMPLE = 8192, 16, 16
+#: Fingerprints wanted in a shard and in a leaf of its own tree, the deepest outer tree, fingerprints sampled for each of its leaves.
+SHARD, LEAF, DEPTH, SAMPLE = 1 << 15, 256, 16, 16
 _SHIFT = {0: np.uint64(32), 1: np.uint64(0)}
 
 
@@ -118,8 +119,8 @@ def leaves(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int)
     return idx, node - ((1 << depth) - 1), home
 
 
-def link_block(home: np.ndarray, guests: np.ndarray, reach: int = REACH, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (member, least member) of the components among home and guests, by links with an end at home."""
+def link_block(home: np.ndarray, guests: np.ndarray, which: int, reach: int = REACH, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (member, least member) of the components among home and guests, by links with an end at home that show in one half of the bits."""
     points = np.concatenate([home, guests])
     up = np.arange(len(points))
 
@@ -129,17 +130,38 @@ def link_block(home: np.ndarray, guests: np.ndarray, reach: int = REACH, rows: i
             i = up[i]
         return i
 
-    for at in range(0, len(home), rows):
-        part = home[at : at + rows]
-        a, b = np.nonzero(np.bitwise_count(part[:, None] ^ points[None, at + 1 :]) <= reach)
-        for i, j in zip((a + at).tolist(), (b + at + 1).tolist()):
-            if i != j and (x := root(i)) != (y := root(j)):
-                up[max(x, y)] = min(x, y)
-    roots = np.array([root(i) for i in range(len(points))], np.int64) if len(points) else up
+    depth = max(0, int(np.ceil(np.log2(max(1, len(home)) / leaf))))
+    tree = build_tree(half(home, which), depth)
+    i, place, own = leaves(half(points, which), tree, depth)
+    order = np.argsort(place, kind="stable")
+    i, place, own = i[order], place[order], own[order] & (i[order] < len(home))
+    edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(i) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        here = i[a:b]
+        mine = here[own[a:b]]
+        for at in range(0, len(mine), leaf):
+            part = mine[at : at + leaf]
+            x, y = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[here][None]) <= reach)
+            _joined(up, root, part[x], here[y])
+    roots = np.array([root(k) for k in range(len(points))], np.int64) if len(points) else up
     met = np.flatnonzero(roots != np.arange(len(points)))
     return points[met], points[roots[met]]
 
 
+def _joined(up: np.ndarray, root, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a's members with those of b's; the many pairs within one set cost no step of Python."""
+    for _ in range(64):
+        a, b = up[a], up[b]
+        if np.array_equal(a, up[a]) and np.array_equal(b, up[b]):
+            break
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    differ = lo != hi
+    for x, y in np.unique(np.stack([lo[differ], hi[differ]], axis=1), axis=0).tolist():
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+
+
 def links(distinct: DataFrame, reach: int = REACH, shard: int = SHARD, depth: int | None = None) -> DataFrame:
     """(a, b) of fingerprints: enough exact links (differing bits <= reach) to give the same components as all of them.
 
@@ -187,7 +209,7 @@ def links(distinct: DataFrame, reach: int = REACH, shard: int = SHARD, depth: in
     def meet(key, batch):
         fps = batch.column("fp").to_numpy().view(np.uint64)
         home = batch.column("home").to_numpy().astype(bool)
-        a, b = link_block(fps[home], fps[~home], reach)
+        a, b = link_block(fps[home], fps[~home], key[0].as_py() % 2, reach)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.groupBy("shard", "block").applyInArrow(meet, "a long, b long")

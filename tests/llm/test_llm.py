@@ -72,10 +72,20 @@ def test_tree_finds_every_link(spark):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     for depth, shard in ((0, 8192), (0, 20), (3, 8192), (5, 5)):
         mine = {x: x for x in up}
-        for r in simhash.links(df, depth=depth, shard=shard).collect():
+        made = simhash.links(df, depth=depth, shard=shard).collect()
+        for r in made:
             a, b = root(r.a % (1 << 64), mine), root(r.b % (1 << 64), mine)
             mine[max(a, b)] = min(a, b)
         assert {x: root(x, mine) for x in mine} == want
+    mine = {x: x for x in up}
+    for which in (0, 1):  # inner trees of many leaves
+        for a, b in zip(*simhash.link_block(fps[::2], fps[1::2], which, leaf=4), strict=True):
+            x, y = root(int(a), mine), root(int(b), mine)
+            mine[max(x, y)] = min(x, y)
+        for a, b in zip(*simhash.link_block(fps[1::2], fps[::2], which, leaf=4), strict=True):
+            x, y = root(int(a), mine), root(int(b), mine)
+            mine[max(x, y)] = min(x, y)
+    assert {x: root(x, mine) for x in mine} == want
 
 
 def test_packing(docs, none):
