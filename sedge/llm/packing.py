@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sedge.llm.pieces import unique
+from sedge.llm.pieces import cut, unique
 from sedge.session import stored
 
 SIZE, OPEN, END = 1024, 16, 0
@@ -99,7 +99,10 @@ class Encoder:
         """The ids of each text."""
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         raws = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
-        out = self._encoded(raws)
+        long = {i for i, r in enumerate(raws) if len(r) > 2 * CHUNK}
+        out = self._encoded([b"" if i in long else r for i, r in enumerate(raws)])
+        for i in long:
+            out[i] = np.concatenate([self._encoded([part])[0] for part in cut(raws[i], CHUNK, _begins)])
         for i in odd:
             out[i] = np.array(self.slow.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
@@ -109,8 +112,7 @@ class Encoder:
         if not raw:
             return [np.zeros(0, np.uint32) for _ in raws]
         buf = np.frombuffer(raw, np.uint8)
-        start = np.zeros(len(buf), bool)
-        start[:-1] = (buf[:-1] == 32) & _SAFE[buf[1:]]
+        start = _begins(buf)
         at = np.concatenate([[0], np.cumsum([len(t) for t in raws])])
         start[at[:-1][at[:-1] < at[-1]]] = True
         starts = np.flatnonzero(start)
@@ -133,6 +135,13 @@ class Encoder:
         return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
+def _begins(buf: np.ndarray) -> np.ndarray:
+    """Where a piece begins: at a space that surely no white space follows."""
+    start = np.zeros(len(buf), bool)
+    start[:-1] = (buf[:-1] == 32) & _SAFE[buf[1:]]
+    return start
+
+
 def _alone(piece: bytes) -> bool:
     return len(piece) < 2 or piece[0] != 32 or not _SAFE[piece[1]]
 

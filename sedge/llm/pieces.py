@@ -42,6 +42,26 @@ def unique(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     _, first, of = np.unique(h, return_index=True, return_inverse=True)
     n, rep = ends - starts, first[of]
     same = (n == n[rep]) & (buf[starts] == buf[starts[rep]]) & (buf[ends - 1] == buf[ends[rep] - 1])
-    if not same.all():
-        raise ArithmeticError("two pieces of text share a hash")
+    if not same.all():  # two pieces share a hash: compare the bytes themselves
+        raw, seen = buf.tobytes(), {}
+        of = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        _, first = np.unique(of, return_index=True)
     return first, of
+
+
+def cut(raw: bytes, size: int, starts) -> list[bytes]:
+    """raw in parts of some `size` bytes, each but the first from one of starts(buf), where it may be cut; a part without such a place is as long as it is."""
+    parts, at = [], 0
+    while len(raw) - at > size:
+        end, step = at + size, size
+        while end < len(raw):
+            found = np.flatnonzero(starts(np.frombuffer(raw, np.uint8, min(step, len(raw) - end) + 1, end - 1))[1:])
+            if len(found):
+                end += int(found[0])
+                break
+            end += step
+        if end >= len(raw):
+            break
+        parts.append(raw[at:end])
+        at = end
+    return [*parts, raw[at:]]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sedge.llm.pieces import unique
+from sedge.llm.pieces import cut, unique
 
 #: Tokens above which a document is over the limit; entries of the table of merged pieces; bytes handled at a time.
 LIMIT, KEPT, CHUNK = 4096, 600_000, 4_000_000
@@ -25,6 +25,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _begins(buf: np.ndarray) -> np.ndarray:
+    """Where a piece begins: at a line feed, and at the first of a run of spaces (what comes before buf is taken for one)."""
+    space = buf == 32
+    start = buf == 10
+    start[1:] |= space[1:] & ~space[:-1]
+    return start
+
+
 class Counter:
     """Counts the tokens of texts; one for each Python worker."""
 
@@ -49,16 +57,20 @@ class Counter:
         return cls.made[model]
 
     def count(self, texts: list[str | None]) -> list[int]:
-        out: list[int] = []
+        total = np.zeros(len(texts), np.int64)
         todo: list[bytes] = []
+        of: list[int] = []
         size = 0
-        for t in texts:
-            todo.append(f" {t}".replace("▁", " ").encode() if t else b"")
-            size += len(todo[-1])
-            if size >= CHUNK:
-                out += self._counted(todo)
-                todo, size = [], 0
-        return out + self._counted(todo)
+        for i, t in enumerate(texts):
+            for part in cut(f" {t}".replace("▁", " ").encode(), CHUNK, _begins) if t else ():
+                todo.append(part)
+                of.append(i)
+                size += len(part)
+                if size >= CHUNK:
+                    np.add.at(total, of, self._counted(todo))
+                    todo, of, size = [], [], 0
+        np.add.at(total, np.array(of, np.int64), np.array(self._counted(todo), np.int64))
+        return total.tolist()
 
     def _counted(self, todo: list[bytes]) -> list[int]:
         """Each text has the space before it that the library adds; pieces start at a run of spaces or at a line feed."""
@@ -66,10 +78,8 @@ class Counter:
         if not raw:
             return [0] * len(todo)
         buf = np.frombuffer(raw, np.uint8)
-        space = buf == 32
-        start = buf == 10
+        start = _begins(buf)
         start[0] = True
-        start[1:] |= space[1:] & ~space[:-1]
         at = np.concatenate([[0], np.cumsum([len(t) for t in todo])])
         start[at[:-1][at[:-1] < at[-1]]] = True
         starts = np.flatnonzero(start)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sedge.llm import ann, langid, lm, media, mixing, packing, pii, secretscan, simhash, tokencount
+from sedge.llm import ann, langid, lm, media, mixing, packing, pieces, pii, secretscan, simhash, tokencount
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, fp string, root string, rate double"
 LONG = "word " * 30_000 + "x" * 50_000
@@ -464,3 +464,21 @@ def test_language_letters_and_many_languages(spark):
     got = {r.doc_id: r for r in langid.languages(df).collect()}
     assert got[5_000_000].lang_pred == "und" and got[5_000_000].score == 0 and got[5_000_001].lang_pred in names and got[5_000_002].lang_pred in names
     assert langid.languages(df).count() == len(rows)
+
+
+def test_very_long_texts(monkeypatch):
+    """Texts cut at safe places give the ids and counts of the whole, also where hashes collide."""
+    rng = np.random.default_rng(15)
+    atoms = ["word ", " ", "\n", "é", "日本", "x" * 40, " \u00a0", "a b", "▁", "123", "  two", "\t", "😀 ", "'s"]
+    texts = ["".join(rng.choice(atoms, rng.integers(0, 400))) for _ in range(60)]
+    c, e = tokencount.Counter.of(tokencount.default_model()), packing.Encoder.of(packing.default_tokenizer())
+    want_n = [len(x) for x in c.sp.encode(texts)]
+    want_ids = [e.slow.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (7, 50, 1000):
+        monkeypatch.setattr(tokencount, "CHUNK", size)
+        monkeypatch.setattr(packing, "CHUNK", size)
+        assert c.count(texts) == want_n
+        assert [x.tolist() for x in e.encode(texts)] == want_ids
+    monkeypatch.setattr(pieces, "hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    assert c.count(texts) == want_n and [x.tolist() for x in e.encode(texts)] == want_ids
+    assert pieces.cut(b"abc", 1, lambda buf: np.zeros(len(buf), bool)) == [b"abc"] and pieces.cut(b"", 5, None) == [b""]
