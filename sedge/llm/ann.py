@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sedge.session import stored
 
 K, TABLES, HASHES, WIDTH, PROBES, BLOCK, SEED = 5, 6, 6, 1.8, 64, 20_000, 11
+#: Rows of the index and of queries that meet in one part, about.
+PART = 200_000
 
 
 def usable(v: Column) -> Column:
@@ -131,6 +133,8 @@ def nearest(
     sizes = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.length("v")).alias("width"))
     sizes = stored(sizes.select("cell", "width", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "cells")
     asked = rows.where("asks").select("id", "embedding").distinct()
+    # Parts grow in number, not in size: what a part reads is bounded.
+    parts = max(4 * parts, -(-(indexed.count() + asked.count() * tables * probes) // PART))
 
     def search(indexed: DataFrame, asking: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): the best k of each place, from rows dealt by cell and block."""
@@ -138,7 +142,7 @@ def nearest(
         i = i.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
         q = asking.join(sizes.select("cell", "blocks"), "cell")
         q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        i, q = [x.select(F.pmod(F.xxhash64("cell", "block"), F.lit(4 * parts)).cast("int").alias("part"), F.xxhash64("cell", "block").alias("place"), "id", "v") for x in (i, q)]
+        i, q = [x.select(F.pmod(F.xxhash64("cell", "block"), F.lit(parts)).cast("int").alias("part"), F.xxhash64("cell", "block").alias("place"), "id", "v") for x in (i, q)]
 
         def meet(left, right):
             return _best(left, right, k)

@@ -1,16 +1,17 @@
 """Mixing documents to target weights of domains they belong to in part.
 
-A naive Bayes classifier, learned from the labelled table, gives each document a posterior over domains (two decimals).
-Rates r >= 0 of documents then solve
+A naive Bayes classifier, learned from the labelled table, gives each document a posterior over domains, in steps of 1 / GRID.
+Rates 0 <= r (<= most) of documents then solve
 
     min  sum_k (sum_d share_d p_dk r_d - w_k)^2 / q_k + ridge sum_d share_d (r_d - 1)^2
 
 where share_d is the document's part of all tokens, q_k the domain's and w_k its target, by projected gradient in the
 metric of the shares: with the weights 1 / q_k the steps shrink the error fast, however rare a domain is.
-Documents of one posterior have one rate, and posteriors of two decimals over K domains have at most
-C(100 + K - 1, K - 1) values (5,151 for three): so one pass sums the tokens of each value, the iterations run over that
-bounded table, each one aggregate that hands K sums to the driver, and the rate of a document is an expression of its
-posterior and of those sums: no rows are joined, stored or collected for it. All of it is DataFrame and SQL functions.
+Documents of one posterior have one rate: one pass sums the tokens of each posterior, the iterations run over that table, each
+one aggregate that hands K sums to the driver, and the rate of a document is an expression of its posterior and of those
+sums: no rows are joined or collected for it. Over K domains the table has at most C(GRID + K - 1, K - 1) rows (5,151 for
+three and GRID 100) and never more than there are documents; it stays a distributed table however many they are. A
+posterior lies less than K / GRID from the classifier's own. All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ DOMAINS = {"plain": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic
 TARGETS = {"plain": 0.9, "poor": 0.1, "toxic": 0.0}
 #: Labelled documents learned from at most; words and marks kept as evidence at most, and how telling they must be; the pull of rates to 1; iterations and their end.
 LABELLED, VOCABULARY, TELLING, RIDGE, ROUNDS, SETTLED = 6_000, 256, 16.0, 1e-4, 40, 1e-4
+#: Steps of a posterior from 0 to 1.
+GRID = 100
 #: What a document shows besides its words.
 MARKS = {
     "#shout": "length(text) > 0 and length(replace(text, '!!', '')) < 0.9 * length(text)",
@@ -105,8 +108,8 @@ def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def posteriors(docs: DataFrame, names: list[str], model: tuple[list, list, list]) -> DataFrame:
-    """docs with a column p_<name> for each domain: posteriors of two decimals that add up to 1."""
+def posteriors(docs: DataFrame, names: list[str], model: tuple[list, list, list], grid: int = GRID) -> DataFrame:
+    """docs with a column p_<name> for each domain: posteriors in steps of 1 / grid that add up to 1."""
     base, words, weights = model
     vocabulary = _constant(words, "array<string>")
     tables = _constant([[base[k], *[w[k] for w in weights]] for k in range(len(names))], "array<array<double>>")
@@ -119,13 +122,13 @@ def posteriors(docs: DataFrame, names: list[str], model: tuple[list, list, list]
 
     def shares(s):
         e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
-        return _let(e, lambda e: F.transform(e, lambda x: F.floor(100 * x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b) + 0.5 / len(names)) / 100))
+        return _let(e, lambda e: F.transform(e, lambda x: F.floor(grid * x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b) + 0.5 / len(names)) / grid))
 
     d = d.withColumn("__p", _let(_let(places, score), shares))
     for k in range(1, len(names)):
         d = d.withColumn(f"p_{names[k]}", F.element_at("__p", k + 1))
     rest = reduce(lambda a, b: a + b, [F.col(f"p_{x}") for x in names[1:]], F.lit(0.0))
-    return d.withColumn(f"p_{names[0]}", F.round(1 - rest, 2)).drop("__text", "__p")
+    return d.withColumn(f"p_{names[0]}", F.round((1 - rest) * grid) / grid).drop("__text", "__p")
 
 
 def tokens(text: Column) -> Column:
@@ -133,8 +136,8 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def fitted(cells: DataFrame, names: list[str], targets: dict[str, float], ridge: float, rounds: int, volume: float | None) -> Column:
-    """The rate as an expression of the posteriors, from cells (p_..., n: tokens)."""
+def fitted(cells: DataFrame, names: list[str], targets: dict[str, float], ridge: float, rounds: int, volume: float | None, most: float | None = None) -> Column:
+    """The rate, between 0 and most, as an expression of the posteriors, from cells (p_..., n: tokens)."""
     p = [F.col(f"p_{x}") for x in names]
     sums = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.sum(F.col("n") * c) for c in p]).first()
     total = float(sums[0])
@@ -148,7 +151,8 @@ def fitted(cells: DataFrame, names: list[str], targets: dict[str, float], ridge:
     def rate(steps: list[list[float]]) -> Column:
         def step(r, over):
             pull = reduce(lambda a, b: a + b, [c * F.element_at(over, k + 1) for k, c in enumerate(p)])
-            return F.greatest(F.lit(0.0), (r + F.lit(ridge) - pull) / F.lit(1 + ridge))
+            up = F.greatest(F.lit(0.0), (r + F.lit(ridge) - pull) / F.lit(1 + ridge))
+            return up if most is None else F.least(up, F.lit(float(most)))
 
         return F.aggregate(_constant(steps, "array<array<double>>"), F.lit(1.0), step)
 
@@ -173,11 +177,15 @@ def rates(
     rounds: int = ROUNDS,
     volume: float | None = 1.0,
     kept: list[str] | None = None,
+    vocabulary: int = VOCABULARY,
+    grid: int = GRID,
+    most: float | None = None,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> row (docs' columns, or those named in kept, as a struct), p_<domain>, tokens, rate, copies.
 
     targets are parts of volume times all tokens; without a volume, of the least one at which no wanted domain must be
-    thinned. copies is the rate rounded up or down by a hash of doc_id and text, so that its mean is the rate: 0 drops a document.
+    thinned; no document is repeated more than `most` times, if it is given, and targets are then missed by as little as that
+    allows: missed() tells by how much. copies is the rate rounded up or down by a hash of doc_id and text, so that its mean is the rate: 0 drops a document.
     One row for each row. Null and empty texts have the prior as posterior and no tokens; without labelled documents all
     posteriors are the same; without tokens every rate is 1; doc_id may be null or repeat; docs' other columns may have
     any names. A target that no document can meet is missed by as little as the others allow.
@@ -185,13 +193,13 @@ def rates(
     domains, targets = domains or DOMAINS, targets or TARGETS
     names = list(domains)
     held = docs.select(F.struct(*(kept or ["*"])).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = learned(held, labels, domains, labelled, VOCABULARY)
+    model = learned(held, labels, domains, labelled, vocabulary)
     columns = [f"p_{x}" for x in names]
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    scored = posteriors(held, names, model).withColumn("tokens", tokens(F.col("text")))
+    scored = posteriors(held, names, model, grid).withColumn("tokens", tokens(F.col("text")))
     scored = stored(scored.select("row", *columns, "tokens", draw.alias("draw")), "scored")  # texts are read once
     cells = stored(scored.groupBy(*columns).agg(F.sum("tokens").alias("n")), "cells")
-    rate = fitted(cells, names, targets, ridge, rounds, volume)
+    rate = fitted(cells, names, targets, ridge, rounds, volume, most)
     draw = F.col("draw")
     return (
         scored.withColumn("rate", rate)
@@ -200,6 +208,14 @@ def rates(
     )
 
 
+def missed(rated: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """rates' rows -> domain, target, got: the part of all tokens, documents at their rates, that each domain should have and has; one row a domain."""
+    targets = targets or TARGETS
+    total = F.sum(F.col("tokens") * F.col("rate"))
+    sums = rated.agg(*[(F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{x}")) / total).alias(x) for x in targets])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(x).alias("domain"), F.lit(float(w)).alias("target"), F.col(x).alias("got")) for x, w in targets.items()])))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs, each row as often as its rate says, with docs' own columns."""
     return (

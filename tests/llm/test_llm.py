@@ -482,3 +482,23 @@ def test_very_long_texts(monkeypatch):
     monkeypatch.setattr(pieces, "hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
     assert c.count(texts) == want_n and [x.tolist() for x in e.encode(texts)] == want_ids
     assert pieces.cut(b"abc", 1, lambda buf: np.zeros(len(buf), bool)) == [b"abc"] and pieces.cut(b"", 5, None) == [b""]
+
+
+def test_mixing_bounds(spark):
+    """Posteriors in steps of a hundredth give the totals of finer ones; a ceiling on repeats holds, and what it misses is told; ties and long texts."""
+    rng = np.random.default_rng(16)
+    kinds = {0: "calm clear plain text about rivers", 1: "!! buy now cheap !!", 2: "you idiot scum worthless"}
+    rows = [(i, " ".join(rng.choice(kinds[int(rng.choice(3, p=[0.2, 0.65, 0.15]))].split() + kinds[0].split(), 20))) for i in range(300)]
+    rows += [(1000, "calm river " * 100_000), (1001, rows[0][1]), (1001, rows[0][1])]
+    labels = [(i, int("buy" not in t), int("idiot" in t)) for i, t in rows]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    coarse, fine = [mixing.rates(df, lab, grid=g, kept=["doc_id"]).select("row.doc_id", "*").drop("row").toPandas().sort_values("doc_id").reset_index(drop=True) for g in (100, 10_000)]
+    assert (coarse.doc_id == fine.doc_id).all() and len(coarse) == len(rows)
+    for x, w in mixing.TARGETS.items():
+        assert (abs(coarse[f"p_{x}"] - fine[f"p_{x}"]) <= 3 / 100).all()
+        for rate in (coarse.rate, fine.rate):  # both against the finer posteriors
+            assert abs((fine[f"p_{x}"] * fine.tokens * rate).sum() / fine.tokens.sum() - w) < 0.02
+    rated = mixing.rates(df, lab, volume=None, most=1.5)
+    assert rated.agg(F.max("rate"), F.max("copies")).first()[0] <= 1.5
+    got = {r.domain: r for r in mixing.missed(rated).collect()}
+    assert abs(sum(r.got for r in got.values()) - 1) < 1e-9 and got["plain"].target == 0.9
