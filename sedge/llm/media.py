@@ -113,33 +113,48 @@ def chroma(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def _boxes() -> np.ndarray:
+    """For the places of an integral image under one window, a column for each filter's first sum and one for each one's second."""
+    out = np.zeros((2, len(FILTERS), SPAN + 1, 25))
+
+    def box(side, f, t0, t1, y0, y1, sign=1):
+        for t, y, one in ((t1, y1, 1), (t0, y1, -1), (t1, y0, -1), (t0, y0, 1)):
+            out[side, f, t, y] += sign * one
+
+    for f, (shape, y, h, w) in enumerate(FILTERS):
+        m, q, k = w // 2, y + h // 2, h // 4
+        if shape == 0:  # upper against lower pitch classes
+            box(0, f, 0, w, y, q), box(1, f, 0, w, q, y + h)
+        elif shape == 1:  # earlier against later
+            box(0, f, 0, m, y, y + h), box(1, f, m, w, y, y + h)
+        elif shape == 2:  # diagonals
+            box(0, f, 0, m, y, q), box(0, f, m, w, q, y + h), box(1, f, 0, m, q, y + h), box(1, f, m, w, y, q)
+        else:  # the middle half against the rest
+            box(0, f, 0, w, y + k, y + h - k), box(1, f, 0, w, y, y + h), box(1, f, 0, w, y + k, y + h - k, -1)
+    return out.reshape(2 * len(FILTERS), -1).T.copy()
+
+
+#: Steps of an energy from 0 to 1: whole numbers, whose sums are exact however they are added up.
+STEPS = 1 << 16
+_BOXES, _GRAY = _boxes(), np.array([0, 1, 3, 2], np.uint32)
+_PLACES = (np.uint32(1) << np.arange(2 * (len(FILTERS) - 1), -1, -2, dtype=np.uint32)).astype(np.uint32)
+
+
 def packed(c: np.ndarray) -> np.ndarray:
     """The packed integers (as signed 32 bits) of pitch-class frames; none for fewer than SPAN frames."""
     n = len(c) - SPAN + 1
     if n < 1:
         return np.zeros(0, np.int32)
     image = np.zeros((len(c) + 1, 25))
-    image[1:, 1:] = np.cumsum(np.cumsum(np.concatenate([c, c], axis=1), axis=0), axis=1)  # pitch classes go round
-
-    def box(t0, t1, y0, y1):
-        return image[t1 : t1 + n, y1] - image[t0 : t0 + n, y1] - image[t1 : t1 + n, y0] + image[t0 : t0 + n, y0]
-
+    whole = np.rint(c * STEPS)
+    image[1:, 1:] = np.cumsum(np.cumsum(np.concatenate([whole, whole], axis=1), axis=0), axis=1)  # pitch classes go round
+    windows = np.lib.stride_tricks.sliding_window_view(image, (SPAN + 1, 25))[:, 0]
     out = np.zeros(n, np.uint32)
-    for shape, y, h, w in FILTERS:
-        m, q = w // 2, y + h // 2
-        if shape == 0:  # upper against lower pitch classes
-            a, b = box(0, w, y, q), box(0, w, q, y + h)
-        elif shape == 1:  # earlier against later
-            a, b = box(0, m, y, y + h), box(m, w, y, y + h)
-        elif shape == 2:  # diagonals
-            a, b = box(0, m, y, q) + box(m, w, q, y + h), box(0, m, q, y + h) + box(m, w, y, q)
-        else:  # the middle half against the rest
-            k = h // 4
-            mid = box(0, w, y + k, y + h - k)
-            a, b = mid, box(0, w, y, y + h) - mid
-        v = np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
-        level = (v > LEVELS[0]).astype(np.uint32) + (v > LEVELS[1]) + (v > LEVELS[2])
-        out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1))).astype(np.uint32)
+    for at in range(0, n, CHUNK // 8):
+        sums = STEPS + np.maximum(windows[at : at + CHUNK // 8].reshape(-1, len(_BOXES)) @ _BOXES, 0)
+        ratio = sums[:, : len(FILTERS)] / sums[:, len(FILTERS) :]
+        level = sum((ratio > x).astype(np.uint8) for x in np.exp(LEVELS))
+        out[at : at + CHUNK // 8] = _GRAY[level] @ _PLACES
     return out.view(np.int32)
 
 
@@ -238,38 +253,50 @@ def link(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     return (votes, shift, error) if n >= MIN_OVERLAP and error <= MAX_ERROR else None
 
 
-def key_hashes(fp: np.ndarray, scale: int, bits: int) -> np.ndarray:
-    """The keys of a fingerprint as numbers of so many bits; equal ones of different keys only add pairs to compare."""
-    with np.errstate(over="ignore"):
-        return (mixed(keys(fp).view(np.uint64) + np.uint64(scale) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
-
-
-def _fingerprints_of(scaled: pa.ListScalar) -> list[tuple[int, np.ndarray]]:
-    """(scale, fp) of a row's array."""
-    of = scaled.values
-    return [(k, x.values.to_numpy(zero_copy_only=False)) for k, x in zip(of.field(0).to_pylist(), of.field(1))]
+def key_hashes(recordings: pa.ListArray, bits: int) -> tuple[np.ndarray, ...]:
+    """(row, scale, fingerprint, its places, place, key) of each place of a column's fingerprints, as arrays.
 
-
-def held_keys(recordings: DataFrame, bits: int, rows: int = 1 << 16) -> DataFrame:
+    row counts the column's rows and fingerprint its fingerprints. A key is the hash of scale and key in so many bits: equal ones of
+    different keys only add pairs to compare.
+    """
+    of = recordings.flatten()
+    row = np.repeat(np.arange(len(recordings)), recordings.value_lengths().to_numpy())
+    fps, scale = of.field(1), of.field(0).to_numpy()
+    n = fps.value_lengths().to_numpy().astype(np.int64)
+    ints = fps.flatten().to_numpy()
+    which = np.repeat(np.arange(len(n)), n)
+    keep = np.ones(len(ints), bool)
+    keep[np.cumsum(n)[n > 0] - 1] = False  # the last integer of a fingerprint begins no key
+    at = np.flatnonzero(keep)
+    which = which[at]
+    start = np.concatenate([[0], np.cumsum(n)])[which]
+    wide = ints.astype(np.int64)
+    key = ((wide[at] << 32) | (wide[np.minimum(at + 1, len(ints) - 1)] & 0xFFFFFFFF)).view(np.uint64)
+    key = mixed(key + scale[which].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return row[which], scale[which], which, n[which] - 1, at - start, key.view(np.int64)
+
+
+def _firsts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts rows by these columns, whether each row in that order is the first of its kind)."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, new
+
+
+def held_keys(recordings: DataFrame, bits: int) -> DataFrame:
     """recordings (id, scaled) -> id, key: each different key of a recording once."""
 
     def run(batches):
-        held, n = [], 0
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["id", "key"])
-
         for b in batches:
-            for i, scaled in zip(b.column(0).to_pylist(), b.column(1)):
-                for scale, fp in _fingerprints_of(scaled):
-                    key = np.unique(key_hashes(fp, scale, bits))
-                    held.append((np.full(len(key), i, np.int64), key))
-                    n += len(key)
-                if n >= rows:
-                    yield batch()
-                    held, n = [], 0
-        if held:
-            yield batch()
+            row, *_, key = key_hashes(b.column(1), bits)
+            order, new = _firsts(row, key)
+            ids = b.column(0).to_numpy()[row[order[new]]]
+            whole = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key[order[new]])], names=["id", "key"])
+            for at in range(0, whole.num_rows, CHUNK):
+                yield whole.slice(at, CHUNK)
 
     return recordings.select("id", "scaled").mapInArrow(run, "id long, key long")
 
@@ -283,30 +310,36 @@ def probed(held: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, scaled, common in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                every, times_held = [common.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
-                for scale, fp in _fingerprints_of(scaled):
-                    key = key_hashes(fp, scale, bits)
-                    own = np.isin(every, key)
-                    known, holders = every[own], times_held[own]
-                    order = np.argsort(known)
-                    known, holders, k = known[order], holders[order], len(known)
-                    mine = np.flatnonzero(np.isin(key, known))
-                    of = np.searchsorted(known, key[mine])
-                    times = np.bincount(of, minlength=k)
-                    first, last = np.full(k, len(key)), np.zeros(k, np.int64)
-                    np.minimum.at(first, of, mine)
-                    np.maximum.at(last, of, mine)
-                    rare = np.lexsort((known, holders))
-                    before = np.empty(k, np.int64)
-                    before[rare] = len(key) - len(mine) + np.cumsum(times[rare]) - times[rare]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, scale, np.int32)), pa.array(known), pa.array(first.astype(np.int32)),
-                            pa.array(last.astype(np.int32)), pa.array(np.full(k, len(key), np.int32)), pa.array(before < len(key) - needed(len(key)) + 1),
-                        ],
-                        names=["id", "scale", "key", "first", "last", "n", "probe"],
-                    )
+            row, scale, which, n, at, key = key_hashes(b.column(1), bits)
+            known = b.column(2).flatten()
+            known_row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            known_key, holders = known.field(0).to_numpy(), known.field(1).to_numpy()
+            # the common keys of all rows and the places of all fingerprints, sorted together: a place finds its key's holders just before it
+            order, _ = _firsts(np.concatenate([known_row, row]), np.concatenate([known_key, key]), np.concatenate([np.zeros(len(known_row), int), 1 + which]), np.concatenate([np.zeros(len(known_row), int), at]))
+            is_known = order < len(known_row)
+            last_known = np.maximum.accumulate(np.where(is_known, np.arange(len(order)), -1))
+            place = np.flatnonzero(~is_known & (last_known >= 0))
+            mine, of = order[place] - len(known_row), order[last_known[place]]
+            same = (known_row[of] == row[mine]) & (known_key[of] == key[mine])
+            mine, of = mine[same], of[same]
+            new = np.ones(len(mine), bool)
+            new[1:] = (which[mine[1:]] != which[mine[:-1]]) | (key[mine[1:]] != key[mine[:-1]])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(mine)))
+            head, tail = mine[first], mine[first + times - 1]
+            # of each fingerprint the rarest first; those that only it holds come before all of these
+            rare = np.lexsort((key[head], holders[of[first]], which[head]))
+            done = np.cumsum(times[rare])
+            begins = np.ones(len(rare), bool)
+            begins[1:] = which[head[rare[1:]]] != which[head[rare[:-1]]]
+            base = np.maximum.accumulate(np.where(begins, done - times[rare], 0))
+            common = np.bincount(which[mine], minlength=int(which.max(initial=-1)) + 1)
+            before = np.empty(len(rare), np.int64)
+            before[rare] = done - times[rare] - base + (n - common[which])[head[rare]]
+            out = [b.column(0).to_numpy()[row[head]], scale[head].astype(np.int32), key[head], at[head].astype(np.int32), at[tail].astype(np.int32), n[head].astype(np.int32), before < n[head] - needed(n[head]) + 1]
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "scale", "key", "first", "last", "n", "probe"])
+            for i in range(0, whole.num_rows, CHUNK):
+                yield whole.slice(i, CHUNK)
 
     return held.select("id", "scaled", "common").mapInArrow(run, "id long, scale int, key long, first int, last int, n int, probe boolean")
 
@@ -343,10 +376,8 @@ def links(met: DataFrame, recordings: DataFrame) -> DataFrame:
     return pairs.select("id", "to", "scale", "a", "b").mapInArrow(run, "id long, to long, scale int, votes long, shift int, error double")
 
 
-def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """recordings (id, scaled), each id once -> (links that join the classes; node, root of all linked ones)."""
-    places = F.aggregate("scaled", F.lit(0).cast("long"), lambda n, x: n + F.size(x["fp"]))
-    total = recordings.agg(F.coalesce(F.sum(places), F.lit(0))).first()[0]
+def linked(recordings: DataFrame, total: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """recordings (id, scaled), each id once, with about `total` places in all -> (links that join the classes; node, root of all linked ones)."""
     bits = min(64, total.bit_length() + 9)  # a key meets a different one of the same number in less than one of 512 cases
     every = held_keys(recordings, bits)
     common = every.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
@@ -356,7 +387,8 @@ def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     rows = stored(probed(compared, bits), "probed")
     live = rows.groupBy("scale", "key").agg(F.max("probe").alias("live"), F.count("*").alias("n")).where("live and n > 1").select("scale", "key")
     rows = stored(rows.join(live, ["scale", "key"], "left_semi"), "keys")
-    prints = compared.select("id", F.inline("scaled"))
+    prints = compared.select("id", F.inline("scaled")).join(rows.select("id", "scale").distinct(), ["id", "scale"], "left_semi")
+    prints = stored(prints, "prints")  # of those that can still be compared
     found, roots = None, None
     for r in range(rounds + 1):
         if roots is None:
@@ -387,9 +419,11 @@ def linked(recordings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
     return found, roots
 
 
-def aligned(media: DataFrame) -> DataFrame:
+def aligned(media: DataFrame, shown: Column | None = None) -> DataFrame:
     """media (id, media: binary, ...) -> id, n_places, fp (the packed integers at FRAME and HOP), class_id, match_id, shift, hop, error.
 
+    shown, an expression over fp, takes its place: a digest travels lighter than a fingerprint.
+
     One row for each row. class_id is the least id of the recording's class. match_id is the least id of an equal
     fingerprint or, for that one itself, of the links that joined the classes the one to a smaller id with the most votes (ties:
     the smallest): a link, not always the best of all; shift is its offset in hops, hop the samples of one, error the share of differing bits; null without one.
@@ -400,10 +434,12 @@ def aligned(media: DataFrame) -> DataFrame:
     one = prints.where("id is not null and digest is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     least = one.groupBy("digest").agg(F.min("id").alias("rec"))
     named = stored(one.join(least, "digest").select("id", "rec", "digest"), "named")
+    every = F.size("fp") + F.aggregate("finer", F.lit(0), lambda n, x: n + F.size(x["fp"]))
+    total = prints.agg(F.coalesce(F.sum(every), F.lit(0))).first()[0]
     first = F.when(F.size("fp") >= MIN_OVERLAP, F.array(F.struct(F.lit(0).alias("scale"), "fp"))).otherwise(F.array().cast(_SCALED))
     scaled = prints.select("id", "digest", F.concat(first, "finer").alias("scaled")).where(F.size("scaled") > 0)
     chosen = named.where("id = rec").select("id", F.col("digest").alias("its"))
-    found, roots = linked(scaled.join(chosen, "id").where("digest = its").dropDuplicates(["id"]).select("id", "scaled"))
+    found, roots = linked(scaled.join(chosen, "id").where("digest = its").dropDuplicates(["id"]).select("id", "scaled"), total)
     match = found.groupBy("id").agg(F.max(F.struct("votes", (-F.col("to")).alias("less"), "to", "shift", "scale", "error")).alias("m"))
     known = (
         named.join(roots.select(F.col("node").alias("rec"), "root"), "rec", "left")
@@ -411,9 +447,10 @@ def aligned(media: DataFrame) -> DataFrame:
         .select("id", "rec", F.coalesce("root", "rec").alias("class"), "m")
     )
     copy = F.col("rec") < F.col("id")
-    return prints.join(known, "id", "left").select(
+    heard = prints.select("id", F.size("fp").cast("long").alias("n_places"), (F.col("fp") if shown is None else shown).alias("fp"))
+    return heard.join(known, "id", "left").select(
         "id",
-        F.size("fp").cast("long").alias("n_places"),
+        "n_places",
         "fp",
         F.coalesce("class", "id").alias("class_id"),
         F.when(copy, F.col("rec")).otherwise(F.col("m.to")).alias("match_id"),

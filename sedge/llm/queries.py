@@ -27,10 +27,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op5_media(spark: SparkSession, folder: str) -> DataFrame:
     """No table holds sound: the bytes of each whole text are played as a recording of 8-bit samples."""
     docs = table(spark, folder, "documents")
-    found = media.aligned(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("media")))
+    crc32 = F.crc32(F.concat_ws(",", F.col("fp").cast("array<string>")).cast("binary"))
+    found = media.aligned(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("media")), shown=crc32)
     return found.select(
-        F.col("id").alias("doc_id"), "n_places", F.crc32(F.concat_ws(",", F.col("fp").cast("array<string>")).cast("binary")).alias("fp_crc32"),
-        "class_id", "match_id", "shift", "hop", F.round("error", 6).alias("error"),
+        F.col("id").alias("doc_id"), "n_places", F.col("fp").alias("fp_crc32"), "class_id", "match_id", "shift", "hop", F.round("error", 6).alias("error"),
     )
 
 
