@@ -134,10 +134,24 @@ VOTE_WEIGHT = {"direct": 2, "shared_quote": 1}
 
 
 def voted(scores: DataFrame, votes: DataFrame) -> DataFrame:
-    """scores (rule_id, score, tier) and votes (rule_id, relation, effect) -> rule_id, score, adjustment, tier after the votes. Undecided votes weigh nothing."""
+    """scores (rule_id, score, tier) and votes (rule_id, relation, effect, and n of them if there is such a column) -> rule_id, score, adjustment, tier after the votes. Undecided votes weigh nothing."""
     sign = F.when(F.col("effect") == "supports", 1).when(F.col("effect") == "weakens", -1).otherwise(0)
-    moved = votes.groupBy("rule_id").agg(F.sum(sign * _looked_up(F.col("relation"), VOTE_WEIGHT, F.lit(0))).alias("adjustment"))
+    n = F.col("n") if "n" in votes.columns else F.lit(1)
+    moved = votes.groupBy("rule_id").agg(F.sum(n * sign * _looked_up(F.col("relation"), VOTE_WEIGHT, F.lit(0))).alias("adjustment"))
     out = scores.select("rule_id", "score", "tier").join(moved, "rule_id", "left").fillna(0, ["adjustment"])
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("score") + F.col("adjustment"))).cast("int")
     out = out.withColumn("score", score)
     return out.withColumn("tier", F.when(F.col("tier") == "mixed", "mixed").otherwise(certainty(F.col("score"))))
+
+
+def propagated(votes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """votes (rule_id, effect), evidence (rule_id, quote: a hash) -> rule_id, relation, effect, n: on the rule asked about, and on each that shares a quote with it.
+
+    Votes are counted by rule before they move to others; a rule that shares several quotes gets a vote once.
+    """
+    counted = votes.groupBy("rule_id", "effect").agg(F.count("*").alias("n"))
+    e = evidence.where("quote is not null").select("rule_id", "quote").distinct()
+    asked = e.join(counted.select("rule_id").distinct(), "rule_id", "left_semi")
+    shared = asked.join(e.withColumnRenamed("rule_id", "other"), "quote").where("rule_id <> other").select("rule_id", "other").distinct()
+    on_others = counted.join(shared, "rule_id").select(F.col("other").alias("rule_id"), F.lit("shared_quote").alias("relation"), "effect", "n")
+    return counted.select("rule_id", F.lit("direct").alias("relation"), "effect", "n").unionByName(on_others)
