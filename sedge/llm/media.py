@@ -385,37 +385,38 @@ def linked(recordings: DataFrame, total: int, rounds: int = ROUNDS) -> tuple[Dat
     # Only recordings with a common key can be compared.
     compared = stored(recordings.join(of, "id").select("id", "scaled", "common"), "compared")
     rows = stored(probed(compared, bits), "probed")
-    live = rows.groupBy("scale", "key").agg(F.max("probe").alias("live"), F.count("*").alias("n")).where("live and n > 1").select("scale", "key")
-    rows = stored(rows.join(live, ["scale", "key"], "left_semi"), "keys")
-    prints = compared.select("id", F.inline("scaled")).join(rows.select("id", "scale").distinct(), ["id", "scale"], "left_semi")
-    prints = stored(prints, "prints")  # of those that can still be compared
+    prints = None
     found, roots = None, None
     for r in range(rounds + 1):
-        if roots is None:
-            holders = rows.withColumn("class", F.col("id"))
-        else:
-            now = roots.select(F.col("node").alias("id"), F.col("root").alias("class"))
-            holders = rows.join(now, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        mine = holders.select("scale", "key", F.struct("id", "first", "last", "n", "probe", "class").alias("a"))
         order = F.col("n").cast("long") if r == 0 else F.xxhash64("id", F.lit(r))
+        holders = rows.withColumn("class", F.col("id")) if r == 0 else rows
         leads = (
-            holders.groupBy("scale", "key")
+            holders.groupBy("key")
             .agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max(F.struct("probe", order.alias("order"), "id", "first", "last", "n", "class")).alias("b"))
-            .where("lo < hi")
+            .where("lo < hi and b.probe")  # the greatest has a probe if any has
         )
+        mine = holders.select("scale", "key", F.struct("id", "first", "last", "n", "probe", "class").alias("a"))
         if r < rounds:
-            met = mine.join(leads.select("scale", "key", "b"), ["scale", "key"]).where((F.col("a.class") != F.col("b.class")) & _may_overlap("a", "b"))
+            met = mine.join(leads.select("key", "b"), "key").where((F.col("a.class") != F.col("b.class")) & _may_overlap("a", "b"))
         else:  # what is left: classes that share keys and did not link by way of leaders
-            mine = stored(mine.join(leads.select("scale", "key"), ["scale", "key"], "left_semi"), "contested")
-            met = mine.where("a.probe").join(mine.withColumnRenamed("a", "b"), ["scale", "key"])
+            met = mine.where("a.probe").join(mine.select("key", F.col("a").alias("b")), "key")
             met = met.where((F.col("a.class") != F.col("b.class")) & (F.col("a.n") <= F.col("b.n")) & _may_overlap("a", "b"))
-        new = stored(links(met.select("scale", F.col("a.id").alias("a"), F.col("b.id").alias("b")), prints), "links")
+        met = met.select("scale", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        if prints is None:  # of those that can still be compared
+            alive = rows.join(leads.select("key"), "key", "left_semi").select("id", "scale").distinct()
+            prints = stored(compared.select("id", F.inline("scaled")).join(alive, ["id", "scale"], "left_semi"), "prints")
+        new = stored(links(met, prints), "links")
         found = new if found is None else found.union(new)
         joins = new.select(F.col("id").alias("a"), F.col("to").alias("b"))
         if roots is None:
             roots = stored(components(joins), "classes")
         elif not new.isEmpty():
             roots = stored(components(joins.union(roots.where("node <> root").select("node", "root"))), "classes")
+        if r < rounds:  # a key whose holders are one class stays out of all later rounds
+            now = roots.select(F.col("node").alias("id"), F.col("root").alias("_class"))
+            holders = rows.drop("class").join(now, "id", "left").withColumn("class", F.coalesce("_class", "id")).drop("_class")
+            contested = holders.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("probe").alias("probe")).where("lo < hi and probe")
+            rows = stored(holders.join(contested.select("key"), "key", "left_semi"), "contested")
     return found, roots
 
 
