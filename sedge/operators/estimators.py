@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sedge.functions.text import js_round
+from sedge.functions.text import js_round, let
 
 
 def nearest_rank(values: str, q: float) -> Column:
@@ -84,3 +84,54 @@ def streak_points(days: Column) -> Column:
 
 def application_tier(score: Column, sources: Column) -> Column:
     return F.when((score >= 60) & (sources >= 2), "supported").otherwise("exploratory")
+
+
+# Seconds to set up an analysis and for each character, weights of that and of what was observed, and the bounds.
+ANALYSIS_SETUP, ANALYSIS_CHARACTER, ANALYSIS_OWN, ANALYSIS_SEEN, ANALYSIS_MOST = 45, 0.06, 0.30, 0.70, 1800
+
+
+def analysis_seconds(characters: Column, seen_rate: Column) -> Column:
+    """Estimated seconds to analyse a text; seen_rate: the median seconds a character of earlier ones, or null."""
+    n = F.greatest(F.lit(1), characters)
+    own = ANALYSIS_SETUP + n * ANALYSIS_CHARACTER
+    both = own * ANALYSIS_OWN + (ANALYSIS_SETUP + seen_rate * n) * ANALYSIS_SEEN
+    return F.greatest(F.lit(ANALYSIS_SETUP), F.least(F.lit(ANALYSIS_MOST), js_round(F.coalesce(both, own))))
+
+
+def page_rate(history: DataFrame, by: list[str]) -> DataFrame:
+    """history (by, order, seconds, pages, ocr, succeeded) -> by, ocr, rate: the median seconds a page of the last eight comparable imports."""
+    good = history.where("succeeded and seconds > 0 and pages > 0")
+    last = F.row_number().over(Window.partitionBy(*by, "ocr").orderBy(F.desc("order")))
+    setup = F.when(F.col("ocr"), SETUP[1]).otherwise(SETUP[0])
+    rate = F.greatest(F.lit(0.05), (F.col("seconds") - setup) / F.greatest(F.lit(1), F.col("pages")))
+    recent = good.withColumn("_n", last).where("_n <= 8").withColumn("rate", rate)
+    return recent.groupBy(*by, "ocr").agg(F.expr("percentile(rate, 0.5)").alias("rate"))
+
+
+# What is added to a size before its scale, the power of that, and the bounds of a scale.
+SCALE_ADD, SCALE_POWER, SCALE_BOUNDS = 400, 0.32, (0.65, 1.65)
+# Share of the median for the lower end, most and part of the deviation for the upper, deviations of a sample at most, least ends.
+LOWER, UPPER_MOST, UPPER_PART, DEVIATIONS, LEAST_ENDS = 0.72, 0.08, 0.25, 3.5, (5_000, 15_000)
+
+
+def scaled_duration(duration: Column, size: Column, wanted: Column) -> Column:
+    """A run's duration scaled to the size of another."""
+    scale = F.pow((wanted + SCALE_ADD) / (size + SCALE_ADD), F.lit(SCALE_POWER))
+    return duration * F.greatest(F.lit(SCALE_BOUNDS[0]), F.least(F.lit(SCALE_BOUNDS[1]), scale))
+
+
+def run_interval(samples: Column) -> Column:
+    """struct(min_ms, max_ms) from an array of a bounded number of durations: the median of those near the median, and a little beyond."""
+    lower = lambda a: F.element_at(a, (F.floor((F.size(a) - 1) * 0.5) + 1).cast("int"))
+    spread = lambda a, m: lower(F.array_sort(F.transform(a, lambda v: F.abs(v - m))))
+
+    def ends(near):
+        m = lower(near)
+        high = m + F.least(m * UPPER_MOST, spread(near, m) * UPPER_PART)
+        return F.struct(F.greatest(F.lit(LEAST_ENDS[0]), js_round(m * LOWER)).alias("min_ms"), F.greatest(F.lit(LEAST_ENDS[1]), js_round(high)).alias("max_ms"))
+
+    def near(a):
+        m = lower(a)
+        return let(spread(a, m), lambda d: F.filter(a, lambda v: (d == 0) | (F.abs(v - m) <= d * DEVIATIONS)))
+
+    return let(F.array_sort(samples), lambda a: let(near(a), ends))

@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from sedge.plans import application, evidence, private, relational, textual
+from sedge.plans import application, cleaning, evidence, private, relational, textual
 
-QUERIES = relational.QUERIES | textual.QUERIES | private.QUERIES | application.QUERIES | evidence.QUERIES
-ORACLE_SQL = relational.SQL | textual.SQL | private.SQL | application.SQL | evidence.SQL
+QUERIES = relational.QUERIES | textual.QUERIES | private.QUERIES | application.QUERIES | evidence.QUERIES | cleaning.QUERIES
+ORACLE_SQL = relational.SQL | textual.SQL | private.SQL | application.SQL | evidence.SQL | cleaning.SQL
