@@ -232,22 +232,30 @@ def fuzzy_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), matched / (F.size(a) + F.size(b) - matched)).otherwise(0.0)
 
 
+def rule_stems(r: Column) -> Column:
+    """What relationship compares of a rule (a struct of subject, outcome, statement, polarity, null_finding, conditions: text), made once for each."""
+    every = stems(F.concat_ws(" ", r["subject"], r["outcome"], r["statement"]))
+    own = {c: stems(r[c]) for c in ("subject", "outcome", "statement", "conditions")} | {"every": every, "negated": F.exists(every, negated)}
+    return F.struct(*[v.alias(c) for c, v in own.items()], r["polarity"].alias("polarity"), r["null_finding"].alias("null_finding"), (F.length(r["conditions"]) == 0).alias("free"))
+
+
 def relationship(a: Column, b: Column, shared_context: Column) -> Column:
-    """How two rules (structs of subject, outcome, statement, polarity, null_finding, conditions: text) relate to each other."""
-    like = lambda x, y: fuzzy_jaccard(stems(x), stems(y))
-    subject, outcome = like(a["subject"], b["subject"]), like(a["outcome"], b["outcome"])
-    crossed = (like(a["subject"], b["outcome"]) >= SAME) & (like(a["outcome"], b["subject"]) >= SAME)
+    """How two rules, as rule_stems, relate to each other."""
+    like = lambda x, y: fuzzy_jaccard(a[x], b[y])
+    crossed = (like("subject", "outcome") >= SAME) & (like("outcome", "subject") >= SAME)
     opposed = F.array_sort(F.array(a["polarity"], b["polarity"])) == F.array(F.lit("negative"), F.lit("positive"))
-    none = F.length(a["conditions"]) * F.length(b["conditions"]) == 0
-    fits = none | (like(a["conditions"], b["conditions"]) >= CONDITION)
-    every = lambda r: stems(F.concat_ws(" ", r["subject"], r["outcome"], r["statement"]))
-    tension = (F.exists(every(a), negated) != F.exists(every(b), negated)) & (fuzzy_jaccard(every(a), every(b)) >= TENSION)
-    same = (subject >= SAME) & (outcome >= SAME)
-    return first_match(
-        [
-            ("contradictory", same & (opposed | (a["null_finding"] != b["null_finding"]))), ("equivalent", same & fits), ("overlapping", same),
-            ("reverse_direction", crossed), ("scope_tension", tension),
-            ("complementary", (subject >= SUBJECT) | (like(a["statement"], b["statement"]) >= STATEMENTS)), ("shared_context", shared_context),
-        ],
-        "unrelated",
-    )
+    fits = a["free"] | b["free"] | (like("conditions", "conditions") >= CONDITION)
+    tension = (a["negated"] != b["negated"]) & (like("every", "every") >= TENSION)
+
+    def named(subject):
+        same = (subject >= SAME) & (like("outcome", "outcome") >= SAME)
+        return first_match(
+            [
+                ("contradictory", same & (opposed | (a["null_finding"] != b["null_finding"]))), ("equivalent", same & fits), ("overlapping", same),
+                ("reverse_direction", crossed), ("scope_tension", tension),
+                ("complementary", (subject >= SUBJECT) | (like("statement", "statement") >= STATEMENTS)), ("shared_context", shared_context),
+            ],
+            "unrelated",
+        )
+
+    return T.let(like("subject", "subject"), named)

@@ -171,7 +171,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def capped_overlap(a: Column, b: Column, cap: int = 12) -> Column:
-    return F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.least(F.lit(cap), F.size(b))).otherwise(0.0)
+    return let(b, lambda b: F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.least(F.lit(cap), F.size(b))).otherwise(0.0))
 
 
 def coverage(needle: Column, hay: Column) -> Column:

@@ -14,23 +14,24 @@ def ranked_rules(rules: DataFrame, query: str, embedding: list[float]) -> DataFr
     rules: subject, outcome, statement, conditions, tags (arrays of text), parts (array of text: the texts of a composite's components),
     embedding, evidence_score, source_language. A column cross_language tells rules in another language than the query's.
     """
-    q = F.lit(query)
-    wanted, have, spoken = C.content(C.expanded(q)), C.features(q), C.query_language(q)
-    near = lambda *c: T.capped_overlap(wanted, C.content(F.concat_ws(" ", *c, "parts")))
-    x = rules.withColumns(
-        {
-            "lexical": near("subject", "outcome", "conditions"), "tag_overlap": near("tags"), "statement_overlap": near("statement"),
-            "vector": V.cosine(F.array(*[F.lit(float(v)) for v in embedding]), F.col("embedding")),
-        }
-    )
+    spark, q = rules.sparkSession, F.lit(query)
+    one = spark.range(1).select(C.content(C.expanded(q)).alias("wanted"), C.features(q).alias("have"), C.query_language(q).alias("spoken")).first()
+    texts = lambda of: F.array(*map(F.lit, of)).cast("array<string>")
+    near = lambda *c: T.capped_overlap(texts(one.wanted), C.content(F.concat_ws(" ", *c, "parts")))
+    made = {
+        "lexical": near("subject", "outcome", "conditions"), "tag_overlap": near("tags"), "statement_overlap": near("statement"),
+        "vector": V.cosine(F.array(*[F.lit(float(v)) for v in embedding]), F.col("embedding")), "applicable": C.applicable(F.col("conditions"), texts(one.have)),
+    }
+    # Made once and filtered where they are made: a filter over columns would be pushed below them and make them again.
+    shown = lambda x: x["applicable"] & (F.greatest(x["tag_overlap"], x["lexical"], x["statement_overlap"]) >= C.GATE)
+    x = rules.select("*", F.inline(F.filter(F.array(F.struct(*[v.alias(c) for c, v in made.items()])), shown))).drop("applicable")
     at_most_1 = lambda c: F.least(F.lit(1.0), F.col(c))
     score = (
         at_most_1("tag_overlap") * C.TAGS + at_most_1("lexical") * C.LEXICAL + at_most_1("statement_overlap") * C.STATEMENT
         + F.greatest(F.lit(0.0), F.col("vector")) * C.VECTOR + F.col("evidence_score") / 100 * C.EVIDENCE
     )
-    shown = C.applicable(F.col("conditions"), have) & (F.greatest("tag_overlap", "lexical", "statement_overlap") >= C.GATE)
-    foreign = (spoken != "unknown") & F.coalesce((F.col("source_language") != "") & (F.col("source_language") != spoken), F.lit(False))
-    return x.where(shown).withColumn("score", score).withColumn("cross_language", foreign)
+    foreign = F.lit(one.spoken != "unknown") & F.coalesce((F.col("source_language") != "") & (F.col("source_language") != one.spoken), F.lit(False))
+    return x.withColumn("score", score).withColumn("cross_language", foreign)
 
 
 def _probes(sets: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
@@ -75,14 +76,15 @@ def matching_claims(claims: DataFrame, rules: DataFrame, least: float) -> DataFr
 
 
 def related_rules(rules: DataFrame, block: Column) -> DataFrame:
-    """rules (id, subject, outcome, statement, polarity, null_finding, conditions, chunks) -> a, b, relation of pairs with a common block, a < b.
+    """rules (id: each once, subject, outcome, statement, polarity, null_finding, conditions, chunks) -> a, b, relation of pairs with a common block, a < b.
 
     block: an array of keys of a rule; rules without a common key are taken for unrelated.
     """
     fields = ("subject", "outcome", "statement", "polarity", "null_finding", "conditions", "chunks")
-    x = rules.select("id", F.struct(*fields).alias("r"), F.explode(F.array_distinct(block)).alias("key"))
+    x = rules.select("id", F.explode(F.array_distinct(block)).alias("key"))
     pairs = x.select(F.col("id").alias("a"), "key").join(x.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    own = x.select("id", "r").dropDuplicates(["id"])
-    met = pairs.join(own.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(own.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
-    shared = F.coalesce(F.arrays_overlap(F.col("ra.chunks"), F.col("rb.chunks")), F.lit(False))
-    return met.select("a", "b", C.relationship(F.col("ra"), F.col("rb"), shared).alias("relation"))
+    own = stored(rules.select("id", F.struct(*fields).alias("r")).select("id", "r.chunks", C.rule_stems(F.col("r")).alias("r")), "rules")
+    side = lambda n: own.select(F.col("id").alias(n), F.struct("r", "chunks").alias(f"of_{n}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.coalesce(F.arrays_overlap(F.col("of_a.chunks"), F.col("of_b.chunks")), F.lit(False))
+    return met.select("a", "b", C.relationship(F.col("of_a.r"), F.col("of_b.r"), shared).alias("relation"))

@@ -86,7 +86,7 @@ def test_relations(spark):
     ]
     df = spark.createDataFrame([(*a, *b, x) for a, b, x, _ in cases], ", ".join(f"{k}{c}" for k in "ab" for c in shape.split(", ")) + ", x boolean")
     of = lambda k: F.struct(*[F.col(k + c.split()[0]).alias(c.split()[0]) for c in shape.split(", ")])
-    assert [r.r for r in df.select(C.relationship(of("a"), of("b"), F.col("x")).alias("r")).collect()] == [w for *_, w in cases]
+    assert [r.r for r in df.select(C.relationship(C.rule_stems(of("a")), C.rule_stems(of("b")), F.col("x")).alias("r")).collect()] == [w for *_, w in cases]
 
 
 def test_folds(spark):
