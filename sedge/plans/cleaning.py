@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window
 
-from sedge.functions import cleaning as L
+from sedge.functions import cleaning as L, text as T
 from sedge.operators import estimators as E, ordered as O
 from sedge.sources import table as t
 
@@ -175,3 +175,35 @@ def rewritten_markers(s, d):
     x = F.concat(F.left("text", F.lit(30)), F.lit(" [?] and [1]."))
     mark = F.coalesce(F.concat(F.lit("["), number.cast("string"), F.lit("]")), F.lit(""))
     return t(s, d, "documents").select("doc_id", F.replace(x, F.lit("[?]"), mark).alias("text"))
+
+
+PROTECTED = ["10\\.[0-9]{4,9}/[^\\s]+", "\\[[0-9, ]+\\]", "p\\s*[<=>]\\s*[0-9.]+", "[0-9]+(?:\\.[0-9]+)?%", "[0-9]+(?:\\.[0-9]+)?"]
+
+
+@query("WITH x AS (SELECT doc_id, text, list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in PROTECTED) + ")) AS p FROM documents) SELECT doc_id, CAST(len(p) AS INTEGER) AS n, len(list_filter(p, lambda x: NOT contains(replace(text, '7', '8'), x))) = 0 AS kept FROM x")
+def protected_tokens(s, d):
+    """Tokens that a translation must keep, and whether one that changes a digit keeps them."""
+    x = F.col("text")
+    return t(s, d, "documents").select("doc_id", F.size(T.protected_tokens(x)).alias("n"), T.tokens_kept(x, F.replace(x, F.lit("7"), F.lit("8"))).alias("kept"))
+
+
+_SET = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 3))"
+
+
+@query(f"""WITH f AS (SELECT conv_id, arg_max({_SET.format('text')}, length(text) * 1000 - turn) AS hay FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, hay)) / len(w) ELSE 0 END, 6) AS coverage FROM (SELECT conv_id, turn, {_SET.format('text')} AS w FROM conversations) JOIN f USING (conv_id)""")
+def needle_coverage(s, d):
+    """How many of a message's words its conversation's longest message has."""
+    c = t(s, d, "conversations").select("conv_id", "turn", T.token_set(F.col("text")).alias("w"), F.length("text").alias("n"))
+    longest = c.groupBy("conv_id").agg(F.max_by("w", F.struct("n", -F.col("turn"))).alias("hay"))
+    return c.join(longest, "conv_id").select("conv_id", "turn", F.round(T.coverage(F.col("w"), F.col("hay")), 6).alias("coverage"))
+
+
+@query("""SELECT doc_id, CAST(2 AS INTEGER) AS dois, doc_id % 10 = 3 AS isbn10, doc_id % 2 = 0 AS isbn13 FROM documents""")
+def identifiers(s, d):
+    """DOIs in a text, and ISBNs whose check digit is right."""
+    k = F.col("doc_id")
+    x = F.concat(F.lit("see doi:10.1234/abc."), k, F.lit(" and https://doi.org/10.55555/x-"), k, F.lit(" or 10.12/short"))
+    ten = F.concat(F.lit("0-306-40615-"), (F.lit(1) + (k + 8) % 10).cast("string"))
+    thirteen = F.when(k % 2 == 0, "978-0-306-40615-7").otherwise("978-0-306-40615-8")
+    return t(s, d, "documents").select("doc_id", F.size(T.dois(x)).alias("dois"), T.isbn10(ten).alias("isbn10"), T.isbn13(thirteen).alias("isbn13"))

@@ -259,6 +259,14 @@ def stream_tumbling_counts(s, d):
     return stream.tumbling(s, f"{d}/events.parquet", "6 hours")
 
 
+@query("""WITH n AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 43200000000 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM n)
+SELECT user_id, epoch_us(min(ts)) AS opened, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(s, d):
+    """Sessions of each user on a stream: events with less than twelve hours between them."""
+    e = stream.sessions(stream.source(s, f"{d}/events.parquet"), "user_id", "12 hours", "1 day")
+    return stream.drained(e.select("user_id", F.unix_micros("session_window.start").alias("opened"), "n"), "complete")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_idempotent(s, d):
     return stream.once_by_key(s, f"{d}/events.parquet", ["user_id", "event_type"])
