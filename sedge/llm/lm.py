@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from sedge.llm.pieces import hashes, mixed
 from sedge.session import stored
 
-ORDER, BACKOFF, BLOCK = 3, 0.4, 4_000_000
+ORDER, BACKOFF, BLOCK = 3, 0.4, 2_000_000
 _SPACE = np.array([b in (32, 9, 10, 11, 12, 13) for b in range(256)])
 
 

@@ -25,7 +25,7 @@ from sedge.session import stored
 
 SIZE, OPEN, END = 1024, 16, 0
 #: Entries of the table of pieces; characters encoded at a time.
-KEPT, CHUNK = 500_000, 3_000_000
+KEPT, CHUNK = 400_000, 1_500_000
 #: Bytes that surely begin no white space: it lies at or below \x20 or begins with one of four lead bytes.
 _SAFE = np.array([b > 32 and b not in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 

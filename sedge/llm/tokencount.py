@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from sedge.llm.pieces import cut, unique
 
 #: Tokens above which a document is over the limit; entries of the table of merged pieces; bytes handled at a time.
-LIMIT, KEPT, CHUNK = 4096, 600_000, 4_000_000
+LIMIT, KEPT, CHUNK = 4096, 500_000, 2_000_000
 
 
 def default_model() -> str:
