@@ -1,10 +1,10 @@
-"""The queries opN_<name>, each over its whole table. None of them can be expressed in SQL; tests compare them with brute force."""
+"""The queries opN_<name>, each over its whole table, with SQL where SQL can express them; tests compare all of them with brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedge.llm import ann, langid, lm, media, mixing, packing, pii, secretscan, simhash, tokencount
+from sedge.llm import ann, langid, linededup, lm, media, mixing, packing, pii, secretscan, simhash, tokencount
 from sedge.sources import table
 
 
@@ -55,10 +55,22 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
 
 
+def op13_lines(spark: SparkSession, folder: str) -> DataFrame:
+    made = linededup.without_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_packing, op3_neighbours, op4_pii, op5_media, op6_language, op7_mixing, op8_tokens, op9_secrets, op10_lm,
+        op13_lines,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, r.key IS NOT NULL AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+}
