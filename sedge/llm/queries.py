@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sedge.llm import ann, langid, linededup, lm, media, mixing, negatives, packing, pii, secretscan, simhash, tokencount
+from sedge.llm import alignment, ann, langid, linededup, lm, media, mixing, negatives, packing, pii, secretscan, simhash, tokencount
 from sedge.sources import table
 
 
@@ -55,6 +55,10 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignments(table(spark, folder, "documents"))
+
+
 def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Where vec_id is divisible by 7, the next label of the ten is taken: labels that are wrong on purpose."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -70,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_packing, op3_neighbours, op4_pii, op5_media, op6_language, op7_mixing, op8_tokens, op9_secrets, op10_lm,
-        op12_negatives, op13_lines,
+        op11_alignment, op12_negatives, op13_lines,
     )
 }
 ORACLE_SQL: dict[str, str] = {
