@@ -60,7 +60,8 @@ class PieceTokens:
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("a piece of this model holds a space or a line feed inside: texts can't be cut there")
         self.bytes = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.table: dict[bytes, list[int]] = {}
+        self.whole = {b" ": [self.sp.piece_to_id("▁")]}  # a space that nothing follows
+        self.table: dict[bytes, list[int]] = dict(self.whole)
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, given as UTF-8 with the space that the library adds."""
@@ -91,7 +92,7 @@ class PieceTokens:
             for i, ids in zip(part, self.sp.encode(texts, num_threads=1)):
                 got[i] = ids[keys[i][0] == 10 :]  # without the space that the library puts before a line feed
         if len(self.table) + len(new) > KEPT:
-            self.table = dict(zip(keys, got))
+            self.table = self.whole | dict(zip(keys, got))
         else:
             self.table.update((keys[i], got[i]) for i in new)
         length = np.fromiter(map(len, got), np.int64, len(got))
