@@ -2,12 +2,13 @@
 
 import collections
 import os
+import re
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from sedge.llm import langid, mixing, packing, pii, simhash
+from sedge.llm import langid, mixing, packing, pii
 from sedge.session import stored
 from tokenizers import Tokenizer
 
@@ -24,8 +25,8 @@ def test_stages(spark):
     start, language, unique, clean, mixed, packed = seen
     assert all(x.columns == docs.columns for x in seen[:5])
     assert language.count() >= 0.98 * docs.count()
-    groups = collections.Counter(r.root for r in simhash.near_duplicates(language).collect())
-    assert unique.count() == len(groups) and simhash.near_duplicates(unique).select("root").distinct().count() == len(groups)
+    rows = sorted(language.collect(), key=lambda r: r.doc_id)
+    assert sorted(r.doc_id for r in unique.collect()) == [rows[g].doc_id for g in sorted(set(plain_groups([r.text for r in rows])))]
     assert clean.count() == unique.count() and not any(s[4] for r in clean.collect() for s in pii.scan(r.text))
     assert mixed.select("doc_id").distinct().count() <= clean.count()
     tokens = packed.groupBy("sequence_id").sum("length").collect()
@@ -64,15 +65,16 @@ def planted(spark, tmp_path_factory):
 
 
 def plain_groups(texts):
-    """The least index of each text's near-duplicate group."""
-    fps, up = [simhash.fingerprint(t) for t in texts], list(range(len(texts)))
+    """The least index of each text's group: texts with a Jaccard similarity of 0.8 or more over 5-word shingles, and what they connect, by all pairs."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets, up = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words], list(range(len(texts)))
 
     def root(i):
         return i if up[i] == i else root(up[i])
 
-    for i, a in enumerate(fps):
+    for i, a in enumerate(sets):
         for j in range(i):
-            if (a ^ fps[j]).bit_count() <= 3:
+            if len(a & sets[j]) * 5 >= 4 * len(a | sets[j]):
                 up[max(root(i), root(j))] = min(root(i), root(j))
     return [root(i) for i in range(len(texts))]
 
