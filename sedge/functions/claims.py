@@ -259,3 +259,50 @@ def relationship(a: Column, b: Column, shared_context: Column) -> Column:
         )
 
     return T.let(like("subject", "subject"), named)
+
+
+# Words of rules that say too little to merge on; likeness of subjects, outcomes and statements for each reason and signal.
+GENERIC = "content dream giấc mơ nội orient process quá relate trình".split()
+EQUIVALENT, MEANINGFUL, SIDE, SIDE_STATEMENT, STATEMENT_ALONE, STATEMENT_SIDES, QUESTION = 0.65, 0.72, 0.15, 0.25, 0.55, 0.3, 0.45
+RELATED, RELATED_RAW, SIMILAR_STATEMENT = 0.3, 0.45, 0.25
+
+
+def merge_stems(r: Column) -> Column:
+    """What merging compares of a rule (a struct of subject, outcome, statement, polarity, null_finding), made once for each."""
+    bare = lambda x: F.array_except(x, F.array(*map(F.lit, GENERIC)))
+    own = {c: stems(r[c]) for c in ("subject", "outcome", "statement")}
+    return F.struct(
+        *[v.alias(c) for c, v in own.items()], bare(own["subject"]).alias("bare_subject"), bare(own["outcome"]).alias("bare_outcome"), r["polarity"].alias("polarity"), r["null_finding"].alias("null_finding")
+    )
+
+
+def merge_assessment(a: Column, b: Column, same_paragraph: Column, same_question: Column, same_source: Column) -> Column:
+    """struct<can_merge, reasons, signals> of two rules, as merge_stems: why they may become one, and what else they have in common."""
+    like = {c: fuzzy_jaccard(a[c], b[c]) for c in ("subject", "outcome", "statement", "bare_subject", "bare_outcome")}
+
+    def judged(n):
+        opposed = F.array_sort(F.array(a["polarity"], b["polarity"])) == F.array(F.lit("negative"), F.lit("positive"))
+        way = ~F.coalesce(opposed, F.lit(False)) & a["null_finding"].eqNullSafe(b["null_finding"])
+        reasons = {
+            "same_canonical_paragraph": same_paragraph,
+            "equivalent_subject_and_outcome": (n["subject"] >= EQUIVALENT) & (n["outcome"] >= EQUIVALENT),
+            "same_meaningful_subject": (n["bare_subject"] >= MEANINGFUL) & ((n["bare_outcome"] >= SIDE) | (n["statement"] >= SIDE_STATEMENT)),
+            "same_meaningful_outcome": (n["bare_outcome"] >= MEANINGFUL) & ((n["bare_subject"] >= SIDE) | (n["statement"] >= SIDE_STATEMENT)),
+            "same_statement_semantics": (n["statement"] >= STATEMENT_ALONE) & (n["bare_subject"] >= STATEMENT_SIDES) & (n["bare_outcome"] >= STATEMENT_SIDES),
+            "same_question_and_semantics": same_question & (n["statement"] >= QUESTION),
+        }
+        signals = {
+            "same_source_document": same_source, "same_canonical_paragraph": same_paragraph, "related_subject": (n["bare_subject"] >= RELATED) | (n["subject"] >= RELATED_RAW),
+            "related_outcome": (n["bare_outcome"] >= RELATED) | (n["outcome"] >= RELATED_RAW), "similar_statement": n["statement"] >= SIMILAR_STATEMENT, "same_question_kind": same_question,
+        }
+        named = lambda of, more: F.array_compact(F.array(*[F.when(more & v, F.lit(k)) for k, v in of.items()]))
+        found = named(reasons, way)
+        return F.struct((F.size(found) > 0).alias("can_merge"), found.alias("reasons"), named(signals, F.lit(True)).alias("signals"))
+
+    return T.let(F.struct(*[v.alias(k) for k, v in like.items()]), judged)
+
+
+def likeness_items(stems_: Column) -> Column:
+    """Keys of stems that are equal wherever _alike may hold, numbered where they repeat: two sets share at least as many as they have stems alike."""
+    keys = F.transform(stems_, lambda w: F.left(w, F.lit(5)))
+    return T.let(keys, lambda ks: F.transform(ks, lambda k, i: F.concat_ws("#", k, F.size(F.filter(F.slice(ks, 1, i + 1), lambda o: o == k)).cast("string"))))

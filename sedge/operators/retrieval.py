@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sedge.functions import claims as C, text as T, vectors as V
+from sedge.operators.components import components
 from sedge.session import stored
 
 
@@ -38,7 +40,7 @@ def _probes(sets: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
     """sets (id, items) -> id, item, n, probe: of a set of n, of which `least` must agree, any n - least n + 1 items hold one that agrees; the rarest are probes."""
     items = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).join(rarity, "item")
     place = F.row_number().over(Window.partitionBy("id").orderBy("holders", "item"))
-    return items.select("id", "item", "n", (place <= F.col("n") - F.ceil(least * F.col("n")) + 1).alias("probe"))
+    return items.select("id", "item", "n", (place <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).alias("probe"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -75,16 +77,118 @@ def matching_claims(claims: DataFrame, rules: DataFrame, least: float) -> DataFr
     return scored.where(F.col("score") >= least)
 
 
-def related_rules(rules: DataFrame, block: Column) -> DataFrame:
-    """rules (id: each once, subject, outcome, statement, polarity, null_finding, conditions, chunks) -> a, b, relation of pairs with a common block, a < b.
+def related_rules(rules: DataFrame) -> DataFrame:
+    """rules (id: each once, subject, outcome, statement, polarity, null_finding, conditions, chunks) -> a, b, relation of all pairs that have one, a < b.
 
-    block: an array of keys of a rule; rules without a common key are taken for unrelated.
+    Every relation needs subjects or statements alike by a known least, a subject like the other's outcome, a few words in common where one rule
+    negates, or a common chunk: each is a join through rare words, and what they bring is judged. Other pairs are unrelated and not returned.
     """
     fields = ("subject", "outcome", "statement", "polarity", "null_finding", "conditions", "chunks")
-    x = rules.select("id", F.explode(F.array_distinct(block)).alias("key"))
-    pairs = x.select(F.col("id").alias("a"), "key").join(x.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
     own = stored(rules.select("id", F.struct(*fields).alias("r")).select("id", "r.chunks", C.rule_stems(F.col("r")).alias("r")), "rules")
+    items = lambda field, df=own: df.select("id", C.likeness_items(F.col(f"r.{field}")).alias("items"))
+    placed = own.select("id", F.explode(F.array_distinct("chunks")).alias("chunk"))
+    pairs = overlapping(items("subject"), items("subject"), C.SUBJECT)
+    pairs = pairs.unionByName(overlapping(items("statement"), items("statement"), C.STATEMENTS)).unionByName(overlapping(items("subject"), items("outcome"), C.SAME))
+    pairs = pairs.unionByName(overlapping(items("every", own.where("r.negated")), items("every", own.where("not r.negated")), C.TENSION))
+    pairs = pairs.unionByName(placed.select(F.col("id").alias("a"), "chunk").join(placed.select(F.col("id").alias("b"), "chunk"), "chunk").select("a", "b"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda n: own.select(F.col("id").alias(n), F.struct("r", "chunks").alias(f"of_{n}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.coalesce(F.arrays_overlap(F.col("of_a.chunks"), F.col("of_b.chunks")), F.lit(False))
-    return met.select("a", "b", C.relationship(F.col("of_a.r"), F.col("of_b.r"), shared).alias("relation"))
+    return met.select("a", "b", C.relationship(F.col("of_a.r"), F.col("of_b.r"), shared).alias("relation")).where("relation <> 'unrelated'")
+
+
+def mergeable_rules(rules: DataFrame) -> DataFrame:
+    """rules (id: each once, subject, outcome, statement, polarity, null_finding, chunks, question, source) -> a, b, reasons, signals of all pairs that may merge, a < b.
+
+    question is null or 'none' where a rule has no kind of question. Each reason needs a common paragraph, or subjects, outcomes or statements
+    that are alike by a known least: every one of these is a join through rare words, and only pairs that one of them brings are judged.
+    """
+    fields = ("subject", "outcome", "statement", "polarity", "null_finding")
+    own = stored(rules.select("id", "chunks", "question", "source", C.merge_stems(F.struct(*fields)).alias("r")), "rules")
+    items = lambda field: own.select("id", C.likeness_items(F.col(f"r.{field}")).alias("items"))
+    near = {"subject": C.EQUIVALENT, "bare_subject": C.MEANINGFUL, "bare_outcome": C.MEANINGFUL, "statement": C.QUESTION}
+    met = [overlapping(items(f), items(f), least) for f, least in near.items()]
+    placed = own.select("id", F.explode(F.array_distinct("chunks")).alias("chunk"))
+    met.append(placed.select(F.col("id").alias("a"), "chunk").join(placed.select(F.col("id").alias("b"), "chunk"), "chunk").select("a", "b"))
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = pairs.where("a < b").distinct()
+    side = lambda n: own.select(F.col("id").alias(n), F.struct("r", "chunks", "question", "source").alias(f"of_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    a, b = F.col("of_a"), F.col("of_b")
+    paragraph = F.coalesce(F.arrays_overlap(a["chunks"], b["chunks"]), F.lit(False))
+    question = F.coalesce((a["question"] == b["question"]) & (a["question"] != "none"), F.lit(False))
+    judged = both.select("a", "b", C.merge_assessment(a["r"], b["r"], paragraph, question, F.coalesce(a["source"] == b["source"], F.lit(False))).alias("m"))
+    return judged.where("m.can_merge").select("a", "b", "m.reasons", "m.signals")
+
+
+def merge_groups(ids: DataFrame, compatible: DataFrame, most: int = 12, in_task: int = 200_000) -> DataFrame:
+    """ids (id), compatible (a, b) -> id, group_id: seeds in order of id, each with all later ones that are compatible with every member so far.
+
+    A seed takes, in order, whichever of the rest fits all it has; a group of two to `most` members leaves the rest and is named after its
+    seed, others change nothing. Ids in no group are absent. What a seed takes depends on its component alone: components of at most in_task pairs
+    are worked through in one task each, larger ones in rounds over all seeds that no earlier seed can still affect.
+    """
+    e = stored(compatible.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "compatible")
+    placed = e.join(components(e).withColumnRenamed("node", "a"), "a")
+    sized = placed.groupBy("root").agg(F.count("*").alias("pairs"))
+    shape = f"id {e.schema['a'].dataType.simpleString()}, group_id {e.schema['a'].dataType.simpleString()}"
+
+    def in_order(frame):
+        near: dict = {}
+        for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        gone, out = set(), []
+        for seed in sorted(near):
+            if seed in gone:
+                continue
+            group = [seed]
+            for c in sorted(near[seed] - gone):
+                if near[c].issuperset(group):
+                    group.append(c)
+            if 2 <= len(group) <= most:
+                gone.update(group)
+                out += [(x, seed) for x in group]
+        return pd.DataFrame(out, columns=["id", "group_id"])
+
+    small = placed.join(sized.where(F.col("pairs") <= in_task).select("root"), "root", "left_semi").groupBy("root").applyInPandas(in_order, shape)
+    large = stored(placed.join(sized.where(F.col("pairs") > in_task).select("root"), "root", "left_semi").select("a", "b"), "large")
+    found = small if large.isEmpty() else small.unionByName(_merged_in_rounds(large, most))
+    return found.join(ids, "id", "left_semi")
+
+
+def _merged_in_rounds(e: DataFrame, most: int) -> DataFrame:
+    """merge_groups of pairs (a < b): in each round the seeds with no earlier open seed within two steps of them."""
+    near = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near")
+    open_, made = stored(near.select(F.col("a").alias("id")).distinct(), "open"), []
+    while not open_.isEmpty():
+        hop = near.join(open_.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("b").alias("low"))
+        own = near.select(F.col("a").alias("id")).distinct().join(hop.withColumnRenamed("a", "id"), "id", "left").join(open_.withColumn("me", F.col("id")), "id", "left")
+        own = own.select("id", F.least("low", "me").alias("low"))
+        two = near.join(own.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("low").alias("low2")).withColumnRenamed("a", "id")
+        first = open_.join(own, "id").join(two, "id", "left").where((F.col("id") <= F.col("low")) & (F.col("id") <= F.coalesce("low2", "id"))).select(F.col("id").alias("seed"))
+        first = stored(first, "seeds")
+        left = stored(first.join(near.withColumnRenamed("a", "seed").withColumnRenamed("b", "c"), "seed"), "candidates")
+        members = [first.select("seed", F.col("seed").alias("id"))]
+        for _ in range(most):
+            if left.isEmpty():
+                break
+            taken = stored(left.groupBy("seed").agg(F.min("c").alias("id")), "taken")
+            members.append(taken)
+            rest = left.join(taken, "seed").where("c > id")
+            left = stored(rest.join(near.select(F.col("a").alias("id"), F.col("b").alias("c")), ["id", "c"]).select("seed", "c"), "candidates")
+        whole = members[0]
+        for m in members[1:]:
+            whole = whole.unionByName(m)
+        fits = whole.groupBy("seed").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= most))
+        made.append(stored(whole.join(fits.select("seed"), "seed").select("id", F.col("seed").alias("group_id")), "groups"))
+        gone = made[-1].select("id")
+        open_ = stored(open_.join(first.withColumnRenamed("seed", "id"), "id", "left_anti").join(gone, "id", "left_anti"), "open")
+        near = stored(near.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "near")
+    found = made[0]
+    for m in made[1:]:
+        found = found.unionByName(m)
+    return found

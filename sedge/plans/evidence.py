@@ -89,7 +89,7 @@ def claims_needed(s, d):
 
 RELATIONS = """WITH p AS (SELECT min(p_partkey) AS id, split_part(p_name, ' ', 1) AS s, split_part(p_name, ' ', 2) AS o, lower(p_type) AS k, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)]) AS w, CASE p_type WHEN 'ECONOMY' THEN 'positive' WHEN 'SMALL' THEN 'negative' ELSE 'neutral' END AS pol FROM part GROUP BY p_name, p_type),
 r AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.s = b.s AND a.o = b.o THEN CASE WHEN list_sort([a.pol, b.pol]) = ['negative', 'positive'] THEN 'contradictory' ELSE 'equivalent' END
-WHEN a.s = b.s OR len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.38 THEN 'complementary' ELSE 'unrelated' END AS relation FROM p a JOIN p b ON a.id < b.id AND (a.s = b.s OR a.o = b.o OR a.k = b.k))
+WHEN a.s = b.s OR len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.38 THEN 'complementary' ELSE 'unrelated' END AS relation FROM p a JOIN p b ON a.id < b.id)
 """
 
 
@@ -103,9 +103,58 @@ def _rules(s, d):
     )
 
 
-@query(RELATIONS + "SELECT a, b, relation FROM r")
+@query(RELATIONS + "SELECT a, b, relation FROM r WHERE relation <> 'unrelated'")
 def rule_relations(s, d):
-    return R.related_rules(_rules(s, d), F.array(F.concat(F.lit("s:"), "subject"), F.concat(F.lit("o:"), "outcome"), F.concat(F.lit("k:"), "kind")))
+    return R.related_rules(_rules(s, d))
+
+
+def _merge_rules(s, d):
+    """Rules of part names and types, in singular and plural and with endings, with paragraphs, questions and sources."""
+    p = t(s, d, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("id"))
+    k = F.col("id")
+    subject = F.concat("p_name", F.when(k % 2 == 1, "s").otherwise(""))
+    outcome = F.concat(F.lit("q"), F.lower("p_type"), F.get(F.array(F.lit(""), F.lit("ly"), F.lit("s")), (k % 3).cast("int")), F.lit(" effect"))
+    polarity = F.when(F.col("p_type") == "ECONOMY", "positive").when(F.col("p_type") == "SMALL", "negative").otherwise("neutral")
+    x = p.select("id", subject.alias("subject"), outcome.alias("outcome"), polarity.alias("polarity"))
+    return x.select(
+        "*", F.concat(F.lit("The "), "subject", F.lit(" relates to "), "outcome").alias("statement"), F.lit(False).alias("null_finding"), F.array((k % 50).cast("string")).alias("chunks"),
+        F.when(k % 4 == 0, "timing").otherwise("none").alias("question"), (k % 3).alias("source"),
+    )
+
+
+_CLASS = """list_distinct(list_transform(list_filter(string_split(lower({0}), ' '), lambda w: w NOT IN ('the', 'to', '')), lambda w:
+ left(CASE WHEN length(w) > 5 AND right(w, 2) = 'es' THEN left(w, -2) WHEN length(w) > 4 AND right(w, 1) = 's' THEN left(w, -1) ELSE w END, 5)))"""
+_JACCARD = "len(list_intersect(a.{0}, b.{0})) / (len(a.{0}) + len(b.{0}) - len(list_intersect(a.{0}, b.{0})))"
+MERGES = f"""p AS (SELECT p_name, p_type, min(p_partkey) AS id FROM part GROUP BY 1, 2),
+x AS (SELECT id, p_name || CASE WHEN id % 2 = 1 THEN 's' ELSE '' END AS subject, 'q' || lower(p_type) || ['', 'ly', 's'][CAST(id % 3 AS INTEGER) + 1] || ' effect' AS outcome, p_type FROM p),
+y AS (SELECT id, p_type, {_CLASS.format("subject")} AS s, {_CLASS.format("outcome")} AS o, {_CLASS.format("'The ' || subject || ' relates to ' || outcome")} AS t FROM x),
+z AS (SELECT a.id AS a, b.id AS b, {_JACCARD.format("s")} AS s, {_JACCARD.format("o")} AS o, {_JACCARD.format("t")} AS t, a.id % 50 = b.id % 50 AS paragraph, a.id % 4 = 0 AND b.id % 4 = 0 AS question, a.id % 3 = b.id % 3 AS source
+ FROM y a JOIN y b ON a.id < b.id WHERE list_sort([a.p_type, b.p_type]) <> ['ECONOMY', 'SMALL']),
+m AS (SELECT a, b, list_filter([CASE WHEN paragraph THEN 'same_canonical_paragraph' END, CASE WHEN s >= 0.65 AND o >= 0.65 THEN 'equivalent_subject_and_outcome' END,
+ CASE WHEN s >= 0.72 AND (o >= 0.15 OR t >= 0.25) THEN 'same_meaningful_subject' END, CASE WHEN o >= 0.72 AND (s >= 0.15 OR t >= 0.25) THEN 'same_meaningful_outcome' END,
+ CASE WHEN t >= 0.55 AND s >= 0.3 AND o >= 0.3 THEN 'same_statement_semantics' END, CASE WHEN question AND t >= 0.45 THEN 'same_question_and_semantics' END], lambda r: r IS NOT NULL) AS reasons,
+ list_filter([CASE WHEN source THEN 'same_source_document' END, CASE WHEN paragraph THEN 'same_canonical_paragraph' END, CASE WHEN s >= 0.3 THEN 'related_subject' END, CASE WHEN o >= 0.3 THEN 'related_outcome' END,
+ CASE WHEN t >= 0.25 THEN 'similar_statement' END, CASE WHEN question THEN 'same_question_kind' END], lambda r: r IS NOT NULL) AS signals FROM z)
+"""
+
+
+@query("WITH " + MERGES + "SELECT a, b, array_to_string(reasons, ',') AS reasons, array_to_string(signals, ',') AS signals FROM m WHERE len(reasons) > 0")
+def mergeable_rules(s, d):
+    """Pairs of rules that may become one, with the reasons for it and what else they share."""
+    return R.mergeable_rules(_merge_rules(s, d)).select("a", "b", F.array_join("reasons", ",").alias("reasons"), F.array_join("signals", ",").alias("signals"))
+
+
+@query("WITH RECURSIVE " + MERGES + """, n AS (SELECT a AS id, b FROM m WHERE len(reasons) > 0 AND 1 + a % 5 <> b % 5 UNION SELECT b, a FROM m WHERE len(reasons) > 0 AND 1 + a % 5 <> b % 5), near AS (SELECT id, list(b ORDER BY b) AS nb FROM n GROUP BY id),
+every AS (SELECT map(list(id), list(nb)) AS of FROM near),
+g AS (SELECT CAST(-1 AS BIGINT) AS seed, CAST([] AS BIGINT[]) AS grp, CAST([] AS BIGINT[]) AS gone
+ UNION ALL SELECT seed, grp, CASE WHEN len(grp) BETWEEN 2 AND 12 THEN list_concat(gone, grp) ELSE gone END FROM
+ (SELECT seed, list_reduce(list_transform(list_filter(of[seed], lambda c: NOT list_contains(gone, c)), lambda c: [c]), lambda h, c: CASE WHEN list_has_all(of[c[1]], h) THEN list_concat(h, c) ELSE h END, [seed]) AS grp, gone FROM
+  (SELECT (SELECT min(id) FROM near WHERE id > g.seed AND NOT list_contains(g.gone, id)) AS seed, gone FROM g), every) WHERE seed IS NOT NULL)
+SELECT unnest(grp) AS id, seed AS group_id FROM g WHERE len(grp) BETWEEN 2 AND 12""")
+def merge_groups(s, d):
+    """Groups of rules of which each may merge with all others; pairs that a reviewer has refused are left out."""
+    pairs = R.mergeable_rules(_merge_rules(s, d)).where("1 + a % 5 <> b % 5")
+    return R.merge_groups(_merge_rules(s, d).select("id"), pairs.select("a", "b"))
 
 
 @query(RELATIONS + """, e AS (SELECT a, b FROM r WHERE relation IN ('equivalent', 'contradictory') UNION SELECT b, a FROM r WHERE relation IN ('equivalent', 'contradictory')), w AS (SELECT a AS node, least(min(b), a) AS root FROM e GROUP BY a)
