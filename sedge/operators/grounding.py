@@ -90,3 +90,54 @@ def grounded_claims(answers: DataFrame, rules: DataFrame, evidence: DataFrame, l
     kept = whole.where((F.col("status") == "resolved") | (G.claim_kind(F.col("claim")) == "searchable"))
     return kept.select("id", "place", "claim", "rule_id", "source_id", "evidence_id", "citation_index", "status")
 
+
+
+def captured_gaps(gaps: DataFrame, claims: DataFrame) -> DataFrame:
+    """gaps (user, key, claim, variants, occurrences, rule_id, score), claims (user, key, claim) -> gaps with the claims added: a row for each user and key.
+
+    A known gap keeps its claim, rule and score and gains variants and occurrences; the shortest claim, the first among equals, names a new one.
+    """
+    first = F.min_by("claim", F.struct(F.length("claim"), "claim"))
+    new = claims.where("key <> ''").groupBy("user", "key").agg(first.alias("claim"), F.collect_set("claim").alias("variants"), F.count("*").alias("occurrences"))
+    old = gaps.select("user", "key", *[F.col(c).alias(f"old_{c}") for c in ("claim", "variants", "occurrences", "rule_id", "score")])
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    met = old.join(new, ["user", "key"], "full")
+    variants = F.array_sort(F.array_union(F.coalesce("old_variants", none), F.coalesce("variants", none)))
+    return met.select(
+        "user", "key", F.coalesce("old_claim", "claim").alias("claim"), variants.alias("variants"), (F.coalesce("old_occurrences", zero) + F.coalesce("occurrences", zero)).alias("occurrences"),
+        F.col("old_rule_id").alias("rule_id"), F.col("old_score").alias("score"),
+    )
+
+
+def _best(gaps: DataFrame, rules: DataFrame, least: float) -> DataFrame:
+    """gap, best (struct of worst: the negative score, and rule_id) of each claim that a rule is like."""
+    claims = gaps.select(F.col("claim").alias("id"), F.col("claim").alias("text")).distinct()
+    found = matching_claims(claims, rules, least).groupBy("claim_id").agg(F.min(F.struct((-F.col("score")).alias("worst"), "rule_id")).alias("best"))
+    return found.withColumnRenamed("claim_id", "claim")
+
+
+def matched_gaps(gaps: DataFrame, rules: DataFrame, least: float = G.GROUNDED) -> DataFrame:
+    """gaps (claim, ...) with rule_id and score of the rule (id, text) that is most like each by `least` or more, ties to the lesser id; null where there is none."""
+    met = gaps.drop("rule_id", "score").join(_best(gaps, rules, least), "claim", "left")
+    return met.withColumn("rule_id", F.col("best.rule_id")).withColumn("score", -F.col("best.worst")).drop("best").select(*gaps.columns)
+
+
+def reconciled_gaps(gaps: DataFrame, rules: DataFrame, changed: DataFrame, least: float = G.GROUNDED) -> DataFrame:
+    """matched_gaps after rules have changed (changed: id of those added, altered or gone), without matching what they don't touch.
+
+    A gap whose rule changed is matched with all rules again. Any other keeps its rule unless a changed one is more like it: those alone are
+    compared. So the work follows the change, and the result is that of matching everything anew.
+    """
+    ids = changed.select(F.col("id").alias("rule_id")).distinct()
+    lost, rest = gaps.join(ids, "rule_id", "left_semi").select(*gaps.columns), gaps.join(ids, "rule_id", "left_anti").select(*gaps.columns)
+    altered = rules.join(ids.withColumnRenamed("rule_id", "id"), "id", "left_semi")
+    met = rest.join(_best(rest, altered, least), "claim", "left")
+    own = F.when(F.col("rule_id").isNotNull(), F.struct((-F.col("score")).alias("worst"), "rule_id"))
+    met = met.withColumn("best", F.least(own, F.col("best")))
+    kept = met.withColumn("rule_id", F.col("best.rule_id")).withColumn("score", -F.col("best.worst")).select(*gaps.columns)
+    return matched_gaps(lost, rules, least).unionByName(kept)
+
+
+def pruned_gaps(gaps: DataFrame, live: DataFrame) -> DataFrame:
+    """gaps that a rule resolves, or that some answer still states (live: user, key)."""
+    return gaps.where("rule_id is not null").unionByName(gaps.where("rule_id is null").join(live.select("user", "key").distinct(), ["user", "key"], "left_semi").select(*gaps.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions import blocks as B
+from sedge.functions import blocks as B, genres as G
 from sedge.operators import blocks as O
 from sedge.plans.grounding import _picked, _picked_sql
 from sedge.sources import table as t
@@ -174,3 +174,63 @@ def repaired_texts(s, d):
     turn = (F.col("doc") + F.col("position")) % 7
     text = F.when(turn == 0, F.translate("x", "üéñáíóè", "uenaioe")).when(turn == 1, F.concat(F.upper(F.replace(F.left("x", F.lit(20)), F.lit("ß"), F.lit("s"))), F.substring("x", F.lit(21), F.length("x")))).otherwise(F.col("x"))
     return O.repaired(x.withColumn("text", text).drop("x")).drop("scope")
+
+
+TITLES = ("A randomized cohort", "Lived experience in focus groups", "A meta-analysis of sleep", "A theory of dreams", "Plain title", "A case report", "Editorial", "Literature review of dreams")
+ABSTRACTS = ("Regression and odds ratio were used", "In-depth interview and thematic analysis", "PRISMA search strategy", "", "A conceptual framework")
+HEADS = ("1. Methods", "Results", "D i s c u s s i o n", "Themes found", "2) A chapter", "Case presentation", "Section 3 A model of sleep", "Background", "R e s u l t s", "4. Another chapter", "Notes", "Forest plot", "Funding")
+#: What each of HEADS is, worked out by hand.
+ROLES = ("methods", "results", "discussion", "qualitative_findings", "body", "body", "body", "introduction", "results", "body", "body", "body", "metadata")
+SAMPLES = ("p < 0.05 was found in ", "Themes of the ", "plain words ", "Heterogeneity was ", "plain words ")
+
+
+def _sections(s, d):
+    k = F.col("doc_id")
+    each = t(s, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), (k * 7) % 12)).alias("j"))
+    heading = _picked(HEADS, k * 3 + F.col("j") * 5)
+    return each.select("doc_id", "j", heading.alias("heading"), G.section_role(heading).alias("role"), F.concat(_picked(SAMPLES, F.floor(k / 2) + F.col("j") * 3), F.left("text", F.lit(30))).alias("sample"))
+
+
+SECTIONS = f"""s AS (SELECT doc_id, j, {_picked_sql(HEADS, "doc_id * 3 + j * 5")} AS heading, {_picked_sql(ROLES, "doc_id * 3 + j * 5")} AS role, {_picked_sql(SAMPLES, "doc_id // 2 + j * 3")} AS sample FROM documents, unnest(range(0, (doc_id * 7) % 12 + 1)) AS u(j))"""
+
+
+@query(f"WITH {SECTIONS} SELECT doc_id, j, role FROM s")
+def section_roles(s, d):
+    """What each section is by its heading."""
+    return _sections(s, d).select("doc_id", "j", "role")
+
+
+@query(f"""WITH {SECTIONS}, x AS (SELECT doc_id, {_picked_sql(TITLES, "doc_id")} AS t, lower({_picked_sql(ABSTRACTS, "doc_id // 3")}) AS a FROM documents),
+f AS (SELECT doc_id, bool_or(role = 'methods') AS m, bool_or(role = 'results') AS r, bool_or(role = 'discussion') AS d, bool_or(role = 'qualitative_findings') AS q, bool_or(heading = 'Forest plot') AS forest, bool_or(heading = 'Case presentation') AS cases,
+ bool_or(contains(heading, 'model')) AS model, count(*) AS n, count(*) FILTER (WHERE regexp_matches(heading, '^[0-9]+[.)]')) AS chapters, bool_or(sample LIKE 'p <%') AS p, bool_or(sample LIKE 'Themes%') AS themes, bool_or(sample LIKE 'Het%') AS het FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, unnest([{{'i': 1, 'g': 'meta_analysis', 't': contains(t, 'meta-'), 'a': false, 's': forest, 'k': het}}, {{'i': 2, 'g': 'systematic_review', 't': false, 'a': contains(a, 'prisma'), 's': false, 'k': false}},
+ {{'i': 3, 'g': 'qualitative_empirical', 't': contains(t, 'Lived'), 'a': contains(a, 'interview'), 's': q, 'k': themes}}, {{'i': 4, 'g': 'quantitative_empirical', 't': contains(t, 'cohort'), 'a': contains(a, 'regression'), 's': m AND r, 'k': p}},
+ {{'i': 5, 'g': 'theoretical_or_conceptual', 't': contains(t, 'theory'), 'a': contains(a, 'framework'), 's': model, 'k': false}}, {{'i': 6, 'g': 'case_report', 't': contains(t, 'case'), 'a': false, 's': cases, 'k': false}},
+ {{'i': 7, 'g': 'narrative_review', 't': contains(t, 'Literature'), 'a': false, 's': NOT m AND NOT r AND d, 'k': false}}, {{'i': 8, 'g': 'non_research', 't': t = 'Editorial', 'a': false, 's': false, 'k': false}},
+ {{'i': 9, 'g': 'book_or_monograph', 't': false, 'a': false, 's': n >= 8 AND chapters >= 2 AND NOT m AND NOT r, 'k': false}}]) AS z FROM x JOIN f USING (doc_id)),
+l AS (SELECT doc_id, z.i AS i, z.g AS g, list_filter([CASE WHEN z.t THEN 'title' END, CASE WHEN z.a THEN 'abstract' END, CASE WHEN z.s THEN 'section_structure' END, CASE WHEN z.k THEN 'chunk_sample' END], lambda v: v IS NOT NULL) AS ch FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(ch) DESC, i) AS n FROM l),
+b AS (SELECT a.doc_id, a.g AS g1, a.ch AS c1, z.g AS g2, z.ch AS c2, qn.ch AS cn, ql.ch AS cl FROM o a JOIN o z ON z.doc_id = a.doc_id AND a.n = 1 AND z.n = 2 JOIN l qn ON qn.doc_id = a.doc_id AND qn.i = 4 JOIN l ql ON ql.doc_id = a.doc_id AND ql.i = 3),
+u AS (SELECT *, len(cn) >= 2 AND len(cl) >= 2 AS twice, len(c1) = len(c2) AS tie, len(c1) = len(c2) AND ((g1 IN ('quantitative_empirical', 'systematic_review', 'meta_analysis') AND g2 = 'qualitative_empirical') OR (g1 = 'qualitative_empirical' AND g2 IN ('quantitative_empirical', 'systematic_review', 'meta_analysis'))) AS crossed FROM b)
+SELECT doc_id, CASE WHEN twice THEN 'mixed' WHEN len(c1) = 0 THEN 'unknown' WHEN crossed THEN 'mixed' ELSE g1 END AS type, CASE WHEN twice THEN 'high' WHEN len(c1) = 0 THEN 'low' WHEN tie THEN 'medium' WHEN len(c1) >= 2 THEN 'high' ELSE 'medium' END AS confidence,
+ array_to_string(list_sort(CASE WHEN twice THEN list_distinct(list_concat(cn, cl)) WHEN len(c1) = 0 THEN [] WHEN crossed THEN list_distinct(list_concat(c1, c2)) ELSE c1 END), ',') AS channels, NOT twice AND len(c1) > 0 AND tie AS conflicting FROM u""")
+def document_genres(s, d):
+    """The genre of each document by its title, abstract, headings and samples; rows of sections are gathered by document."""
+    x = _sections(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "heading", "role", "sample"))).alias("sections"))
+    k = F.col("doc_id")
+    return x.select("doc_id", F.inline(F.array(G.genre(_picked(TITLES, k), _picked(ABSTRACTS, F.floor(k / 3)), F.col("sections"))))).withColumn("channels", F.array_join(F.array_sort("channels"), ","))
+
+
+@query("""WITH n AS (SELECT conv_id, turn, regexp_replace(lower(split_part(text, ' ', 1) || CASE WHEN turn % 3 = 0 THEN '' ELSE ' ' || split_part(text, ' ', 2) END), '[^\\pL\\pN%]+', ' ', 'g') AS s0, role AS e FROM conversations WHERE turn < 24 UNION ALL
+SELECT conv_id, turn + 100, regexp_replace(lower(split_part(text, ' ', 1)), '[^\\pL\\pN%]+', ' ', 'g'), role FROM conversations WHERE turn % 2 = 0),
+k AS (SELECT conv_id, turn, trim(s0) AS s, e, row_number() OVER (PARTITION BY conv_id ORDER BY length(trim(s0)), turn) AS i FROM n),
+f AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.conv_id = k.conv_id AND o.e = k.e AND o.i < k.i AND contains(' ' || k.s || ' ', ' ' || o.s || ' ')))
+SELECT conv_id, string_agg(turn, ',' ORDER BY i) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS n FROM f) WHERE n <= 8 GROUP BY conv_id""")
+def distinct_motifs(s, d):
+    """Notes of conversations, named by a message's first words, without those that another with the same evidence holds; the shortest eight."""
+    c = t(s, d, "conversations")
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    first = c.where("turn < 24").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, word(1)).otherwise(F.concat(word(1), F.lit(" "), word(2))).alias("symbol"), F.col("role").alias("evidence"))
+    notes = first.unionByName(c.where("turn % 2 = 0").select("conv_id", (F.col("turn") + 100).alias("turn"), word(1).alias("symbol"), F.col("role").alias("evidence")))
+    x = notes.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "symbol", "evidence"))).alias("notes"))
+    return x.select("conv_id", F.array_join(F.transform(G.distinct_motifs(F.col("notes")), lambda n: n["turn"].cast("string")), ",").alias("kept"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedge.functions import grounding as G
+from sedge.functions import grounding as G, text as T
 from sedge.operators import grounding as R
 from sedge.plans.evidence import _listed
+from sedge.session import stored
 from sedge.sources import table as t
 
 QUERIES, SQL = {}, {}
@@ -194,3 +195,27 @@ def grounded_claims(s, d):
     rules = rules.select("id", F.when(F.col("said") == "", F.col("text")).otherwise(F.col("said")).alias("text"))
     evidence = docs.select((k % items.count()).alias("rule_id"), (k % 11).alias("source_id"), k.alias("evidence_id"), F.when(k % 3 == 0, " ").otherwise(F.col("text")).alias("quote"))
     return R.grounded_claims(answers, rules, evidence).withColumnRenamed("id", "doc_id")
+
+
+_GAPS = f"""said AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x}', '{kind}', {'NULL' if r is None else r})" for i, (x, kind, r) in enumerate(SENTENCES))}) AS v(i, claim, kind, r)),
+c AS (SELECT doc_id % 20 AS user, claim, r, doc_id FROM documents JOIN said ON i = (doc_id // 20) % {len(SENTENCES)} WHERE kind = 'searchable')"""
+
+
+def _claims(s, d):
+    k = F.col("doc_id")
+    x = t(s, d, "documents").select((k % 20).alias("user"), _picked(tuple(x for x, *_ in SENTENCES), F.floor(k / 20)).alias("claim"), k.alias("doc_id"))
+    return x.where(G.claim_kind(F.col("claim")) == "searchable").withColumn("key", T.symbol_key(T.clean_claim(F.col("claim"))))
+
+
+@query(f"""WITH {_GAPS}, n AS (SELECT item_id, item_id % 6 AS r FROM benchmark WHERE item_id % 5 <> 0), b AS (SELECT r, min(item_id) AS rule_id FROM n GROUP BY r)
+SELECT user, claim, count(*) AS occurrences, any_value(rule_id) AS rule_id FROM c LEFT JOIN b USING (r) GROUP BY user, claim HAVING any_value(rule_id) IS NOT NULL OR count(*) FILTER (WHERE doc_id % 3 > 0) > 0""")
+def evidence_gaps(s, d):
+    """Claims that lack evidence, captured in two rounds, matched with rules, and reconciled after a fifth of the rules has gone and a third come; dead ones pruned."""
+    claims, items = _claims(s, d), t(s, d, "benchmark")
+    empty = claims.limit(0).select("user", "key", "claim", F.array("claim").alias("variants"), F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("rule_id"), F.lit(0.0).alias("score"))
+    gaps = R.captured_gaps(R.captured_gaps(empty, claims.where("doc_id % 2 = 0")), claims.where("doc_id % 2 = 1"))
+    rules = items.select(F.col("item_id").alias("id"), F.coalesce(_picked((*RULES, ""), F.col("item_id")), F.lit("")).alias("said"), "text")
+    rules = rules.select("id", F.when(F.col("said") == "", F.col("text")).otherwise(F.col("said")).alias("text"))
+    matched = stored(R.matched_gaps(gaps, rules.where("id % 3 <> 0")), "gaps")
+    now = R.reconciled_gaps(matched, rules.where("id % 5 <> 0"), rules.where("(id % 3 <> 0) <> (id % 5 <> 0)").select("id"))
+    return R.pruned_gaps(now, claims.where("doc_id % 3 > 0")).select("user", "claim", "occurrences", "rule_id")

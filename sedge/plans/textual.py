@@ -180,7 +180,8 @@ def _cases(s, d):
     """A case for each user: parts of orders they should have seen (large amounts), the first 12 they saw, returned ones forbidden, a claim for each order."""
     l = t(s, d, "lineitem").join(t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"), "o_orderstatus", "o_totalprice"), "l_orderkey")
     part = F.col("l_partkey").cast("string")
-    shown = O.top_n(l, ["id"], ["l_shipdate", "l_orderkey", "l_linenumber"], 12).select("id", F.struct("l_shipdate", "l_orderkey", "l_linenumber", part.alias("part")).alias("x"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]  # rows that tie in all of these show the same part
+    shown = O.top_n(l, ["id"], order, 12).select("id", F.struct(*order, part.alias("part")).alias("x"))
     retrieved = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"])
     claims = l.groupBy("id", "l_orderkey", "o_orderstatus").agg(F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 35, part))).alias("citationIds"))
     claims = claims.groupBy("id").agg(F.collect_list(F.struct(F.col("l_orderkey").cast("string").alias("text"), "citationIds", (F.col("o_orderstatus") == "F").alias("supported"))).alias("claims"))
@@ -192,7 +193,7 @@ def _cases(s, d):
 
 
 RAG_SQL = """WITH l AS (SELECT o_custkey AS id, o_orderstatus, o_totalprice, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-got AS (SELECT id, l_partkey AS part, row_number() OVER (PARTITION BY id ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM l QUALIFY rn <= 12),
+got AS (SELECT id, l_partkey AS part, row_number() OVER (PARTITION BY id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS rn FROM l QUALIFY rn <= 12),
 rel AS (SELECT DISTINCT id, l_partkey AS part FROM l WHERE l_extendedprice > 60000), bad AS (SELECT DISTINCT id, l_partkey AS part FROM l WHERE l_returnflag = 'R' AND l_discount > 0.09),
 cite AS (SELECT id, l_orderkey, o_orderstatus, count(*) FILTER (WHERE l_quantity > 35) AS n, count(*) FILTER (WHERE l_quantity > 35 AND NOT EXISTS (SELECT 1 FROM got WHERE got.id = l.id AND got.part = l.l_partkey)) AS lost FROM l GROUP BY 1, 2, 3),
 claim AS (SELECT id, avg(CASE WHEN n > 0 AND lost = 0 AND o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS faithfulness, avg(CASE WHEN n > 0 AND lost = 0 THEN 1.0 ELSE 0 END) AS traceability FROM cite GROUP BY id),

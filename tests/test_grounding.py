@@ -133,3 +133,24 @@ def test_grounded_claims_without_rules(spark):
     rules = spark.createDataFrame([], "id long, text string")
     evidence = spark.createDataFrame([], "rule_id long, source_id long, evidence_id long, quote string")
     assert [(r.id, r.claim, r.status) for r in R.grounded_claims(answers, rules, evidence).collect()] == [(1, a, "unresolved")]
+
+
+def test_gaps(spark):
+    """Reconciling what changed gives what matching everything anew gives; variants and occurrences add up."""
+    rng = random.Random(53)
+    words = "sleep memory stress planning creative dream future work fear waves slow deep night adults recall river stone".split() + [f"w{i}x" for i in range(70)]
+    text = lambda: " ".join(rng.sample(words, rng.randint(2, 5)))
+    gaps = spark.createDataFrame([(i % 5, f"k{i}", text(), [f"v{i}"], 1, None, None) for i in range(60)], "user long, key string, claim string, variants array<string>, occurrences long, rule_id long, score double")
+    old = [(i, text()) for i in range(40)]
+    new = [(i, text() if i % 6 == 0 else t) for i, t in old if i % 7] + [(i, text()) for i in range(40, 50)]
+    changed = sorted({i for i, _ in old} ^ {i for i, _ in new} | {i for i, t in new if dict(old).get(i, t) != t})
+    rules = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    before = R.matched_gaps(gaps, rules(old))
+    rows = lambda df: sorted((r.user, r.key, r.rule_id, r.score and round(r.score, 9)) for r in df.collect())
+    want = rows(R.matched_gaps(gaps, rules(new)))
+    assert rows(R.reconciled_gaps(before, rules(new), rules([(i, "") for i in changed]))) == want
+    assert 3 < sum(r[2] is None for r in want) < 57 and rows(before) != want
+    claims = spark.createDataFrame([(0, "k0", "other words"), (0, "k0", "other words"), (9, "n", "longer claim"), (9, "n", "claim b"), (9, "", "none")], "user long, key string, claim string")
+    got = {(r.user, r.key): r for r in R.captured_gaps(gaps, claims).collect()}
+    assert len(got) == 61 and got[0, "k0"].occurrences == 3 and got[0, "k0"].variants == ["other words", "v0"] and got[9, "n"].claim == "claim b" and got[9, "n"].rule_id is None
+    assert {(r.user, r.key) for r in R.pruned_gaps(before, claims).collect()} == {(r.user, r.key) for r in before.collect() if r.rule_id is not None} | ({(0, "k0")})
