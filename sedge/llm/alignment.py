@@ -114,6 +114,7 @@ class Aligner:
         if max(len(s.bytes) for s in self.sides) > 1 << BITS:
             raise ValueError(f"a vocabulary has more than 2 ** {BITS} entries")
         self.widths = [np.array([len(x) for x in s.bytes], np.int64) for s in self.sides]
+        self.flat, self.places = [np.frombuffer(b"".join(s.bytes), np.uint8) for s in self.sides], [np.cumsum(w) - w for w in self.widths]
         # An id as text with what follows it: more of its side, the other side, the next group.
         self.shown = [np.array([[f"{i}{end}".encode() for end in ends] for i in range(len(s.bytes))], object) for s, ends in zip(self.sides, (",|", ",;"))]
 
@@ -127,8 +128,25 @@ class Aligner:
         """The ids of both sides for each text; None where it has none or one side doesn't give its bytes."""
         raws = [f" {t}".encode() if t else b"" for t in texts]
         a, b = [s.encode(raws) for s in self.sides]
-        joined = lambda side, ids: b"".join(map(side.bytes.__getitem__, ids.tolist()))
-        return [(x, y) if r and joined(self.sides[0], x) == r == joined(self.sides[1], y) else None for r, x, y in zip(raws, a, b)]
+        fits = [bool(r) for r in raws]
+        for s, ids in enumerate((a, b)):
+            for i, same in self._gives_back(s, ids, raws, fits):
+                fits[i] = same
+        return [(x, y) if f else None for f, x, y in zip(fits, a, b)]
+
+    def _gives_back(self, s: int, ids: list[np.ndarray], raws: list[bytes], asked: list[bool]):
+        """(text, whether a side's tokens join to its bytes) of the texts asked for, all compared at once."""
+        width, flat, at = self.widths[s], self.flat[s], self.places[s]
+        size = {i: int(width[ids[i]].sum()) for i, f in enumerate(asked) if f}
+        whole = [i for i, n in size.items() if n == len(raws[i])]
+        yield from ((i, False) for i in size.keys() - set(whole))
+        if whole:
+            x = np.concatenate([ids[i] for i in whole]).astype(np.int64)
+            stop = np.cumsum(width[x])
+            joined = flat[np.repeat(at[x] - stop + width[x], width[x]) + np.arange(stop[-1])]
+            equal = joined == np.frombuffer(b"".join([raws[i] for i in whole]), np.uint8)
+            begin = np.concatenate([[0], np.cumsum([size[i] for i in whole])[:-1]])
+            yield from zip(whole, np.logical_and.reduceat(equal, begin).tolist())
 
     def align(self, texts: list[str | None]) -> tuple[dict[str, list], np.ndarray, np.ndarray]:
         """(figures of each text, keys (text, a, b) of its different pairs in order, times that each is linked)."""
