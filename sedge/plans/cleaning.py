@@ -42,12 +42,12 @@ def caption_numbers(s, d):
     return t(s, d, "part").select("p_partkey", L.caption_number(caption).alias("number"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, 'en ', 'en-' || chr(10)), 'non-' || chr(10), 'non-' || chr(10) || ' '), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE doc_id % 2 = 0 AND len(text) < 3000),
+@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, 'en ', 'en-' || chr(10)), 'non-' || chr(10), 'non-' || chr(10) || ' '), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
 r AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN regexp_matches(a, '\\p{L}-$') AND regexp_matches(x, '^\\p{L}') THEN CASE WHEN regexp_matches(a, '(?i)(^|[^a-z])(""" + "|".join(L.COMPOUNDS) + """)-$') THEN a || x ELSE a[1:-2] || x END ELSE a || ' ' || x END) AS x FROM l WHERE len(l) > 0)
 SELECT doc_id, md5(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS flowed FROM r""")
 def reflowed_texts(s, d):
     broken = F.replace(F.replace("text", F.lit("en "), F.lit("en-\n")), F.lit("non-\n"), F.lit("non-\n "))
-    x = t(s, d, "documents").where("doc_id % 2 = 0 and length(text) < 3000").select("doc_id", L.reflowed(broken).alias("x"))
+    x = t(s, d, "documents").select("doc_id", L.reflowed(broken).alias("x"))
     return x.where("x <> ''").select("doc_id", F.md5(F.col("x").cast("binary")).alias("flowed"))
 
 
@@ -168,11 +168,11 @@ def signature_dedup(s, d):
     return g.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))), ",").alias("spans")).where("n > 1")
 
 
-@query("""SELECT doc_id, replace(x, '[?]', CASE WHEN doc_id % 4 = 0 THEN '' ELSE '[' || (doc_id % 4) || ']' END) AS text FROM (SELECT doc_id, left(text, 30) || ' [?] and [1].' AS x FROM documents)""")
+@query("""SELECT doc_id, replace(x, '[?]', CASE WHEN doc_id % 4 = 0 THEN '' ELSE '[' || (doc_id % 4) || ']' END) AS text FROM (SELECT doc_id, text || ' [?] and [1].' AS x FROM documents)""")
 def rewritten_markers(s, d):
     """Open citation marks as the number of the source found since, or taken out where there is none."""
     number = F.nullif(F.col("doc_id") % 4, F.lit(0))
-    x = F.concat(F.left("text", F.lit(30)), F.lit(" [?] and [1]."))
+    x = F.concat("text", F.lit(" [?] and [1]."))
     mark = F.coalesce(F.concat(F.lit("["), number.cast("string"), F.lit("]")), F.lit(""))
     return t(s, d, "documents").select("doc_id", F.replace(x, F.lit("[?]"), mark).alias("text"))
 

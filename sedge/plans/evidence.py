@@ -167,7 +167,7 @@ def concept_clusters(s, d):
     return components(e.select("a", "b")).groupBy(F.concat(F.lit("rule-cluster:"), "root").alias("cluster_id")).agg(F.count("*").alias("members"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS rule_id, l_partkey % 500 AS quote FROM lineitem WHERE l_quantity > 45), v AS (SELECT event_id, user_id % 100 + 1 AS rule_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS sign FROM events WHERE event_id < 2000),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS rule_id, l_partkey % 500 AS quote FROM lineitem WHERE l_quantity > 45), v AS (SELECT event_id, user_id % 100 + 1 AS rule_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS sign FROM events),
 s AS (SELECT DISTINCT a.rule_id, b.rule_id AS other FROM e a JOIN e b USING (quote) WHERE a.rule_id <> b.rule_id), m AS (SELECT rule_id, 2 * sign AS w FROM v UNION ALL SELECT s.other, sign FROM v JOIN s USING (rule_id))
 SELECT s_suppkey AS rule_id, CAST(coalesce(sum(w), 0) AS BIGINT) AS adjustment, CAST(greatest(0, least(100, 50 + coalesce(sum(w), 0))) AS INTEGER) AS score, CASE WHEN greatest(0, least(100, 50 + coalesce(sum(w), 0))) >= 85 THEN 'strong' WHEN greatest(0, least(100, 50 + coalesce(sum(w), 0))) >= 65 THEN 'moderate' WHEN greatest(0, least(100, 50 + coalesce(sum(w), 0))) >= 45 THEN 'limited' ELSE 'weak' END AS tier
 FROM supplier LEFT JOIN m ON m.rule_id = s_suppkey GROUP BY s_suppkey""")
@@ -175,14 +175,14 @@ def propagated_votes(s, d):
     """Votes move the rule asked about, and by less each rule that rests on one of the same quotes."""
     evidence = t(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("rule_id"), F.sha2((F.col("l_partkey") % 500).cast("string"), 256).alias("quote"))
     effect = F.when(F.col("event_type") == "purchase", "supports").when(F.col("event_type") == "error", "weakens").otherwise("undecided")
-    votes = t(s, d, "events").where("event_id < 2000").select((F.col("user_id") % 100 + 1).alias("rule_id"), effect.alias("effect"))
+    votes = t(s, d, "events").select((F.col("user_id") % 100 + 1).alias("rule_id"), effect.alias("effect"))
     scores = t(s, d, "supplier").select(F.col("s_suppkey").alias("rule_id"), F.lit(50).alias("score"), F.lit("limited").alias("tier"))
     return V.voted(scores, V.propagated(votes, evidence)).select("rule_id", "adjustment", "score", "tier")
 
 
 SCORES = """WITH r AS (SELECT s_suppkey AS rule_id, CASE s_nationkey % 3 WHEN 0 THEN 'association' WHEN 1 THEN 'intervention_effect' ELSE 'qualitative_theme' END AS claim, s_acctbal > 0 AS accepted, s_nationkey % 2 = 0 AS cond, s_nationkey % 5 = 0 AS lim, CASE s_nationkey % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'conditional' WHEN 2 THEN 'background' ELSE 'not_usable' END AS ready FROM supplier),
 e AS (SELECT l_suppkey AS rule_id, l_orderkey * 10 + l_linenumber AS pos, CAST(l_orderkey % 4 AS VARCHAR) AS src, CAST(l_orderkey % 4 AS VARCHAR) || ':' || CAST(l_partkey % 3 AS VARCHAR) AS place, CASE WHEN l_returnflag = 'R' AND l_quantity > 48 THEN 'refutes' WHEN l_returnflag = 'A' THEN 'limits' ELSE 'supports' END AS stance,
-CASE l_linenumber % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'case_report' ELSE 'meta_analysis' END AS kind, CASE WHEN l_tax > 0.05 THEN 'high' WHEN l_tax > 0.02 THEN 'medium' ELSE 'low' END AS sure, CASE WHEN l_discount > 0.08 THEN 'preprint' WHEN l_discount > 0.02 THEN 'peer_reviewed' END AS standing FROM lineitem WHERE l_quantity > 44 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY l_partkey) = 1),
+CASE l_linenumber % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'case_report' ELSE 'meta_analysis' END AS kind, CASE WHEN l_tax > 0.05 THEN 'high' WHEN l_tax > 0.02 THEN 'medium' ELSE 'low' END AS sure, CASE WHEN l_discount > 0.08 THEN 'preprint' WHEN l_discount > 0.02 THEN 'peer_reviewed' END AS standing FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY l_partkey) = 1),
 f AS (SELECT e.*, CASE WHEN CASE claim WHEN 'qualitative_theme' THEN kind IN ('mixed', 'case_report') ELSE kind IN ('mixed', 'meta_analysis') END THEN least(CASE WHEN claim = 'intervention_effect' THEN least(17, CASE sure WHEN 'high' THEN 25 WHEN 'medium' THEN 18 ELSE 11 END) ELSE CASE sure WHEN 'high' THEN 25 WHEN 'medium' THEN 18 ELSE 11 END END, CASE WHEN standing IS NULL THEN 16 WHEN standing = 'preprint' THEN 20 ELSE 100 END) ELSE 0 END AS fit FROM e JOIN r USING (rule_id)),
 n AS (SELECT rule_id, count(DISTINCT place) FILTER (WHERE stance = 'supports') AS sup, count(DISTINCT place) FILTER (WHERE stance = 'refutes') AS ref, count(DISTINCT src) FILTER (WHERE stance = 'supports') AS ssrc FROM f GROUP BY rule_id),
 g AS (SELECT rule_id, floor(avg(fit) + 0.5) AS fit FROM (SELECT rule_id, src, arg_min(fit, pos) AS fit FROM f WHERE stance = 'supports' GROUP BY rule_id, src) GROUP BY rule_id),
@@ -193,7 +193,7 @@ z AS (SELECT *, CAST(CASE WHEN sup = 0 THEN 0 ELSE least(CASE WHEN accepted THEN
 
 
 def _scored(s, d):
-    p, l = t(s, d, "supplier"), t(s, d, "lineitem").where("l_quantity > 44")
+    p, l = t(s, d, "supplier"), t(s, d, "lineitem")
     one_of = lambda c, n, names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % n + 1).cast("int"))
     rules = p.select(
         F.col("s_suppkey").alias("rule_id"), one_of("s_nationkey", 3, ["association", "intervention_effect", "qualitative_theme"]).alias("claim_type"), (F.col("s_acctbal") > 0).alias("accepted"),

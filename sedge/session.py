@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,13 @@ _made: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor reaches.
 
-    Only where a session names none (tests, one machine) a temporary folder is made, one for each application.
+    Only where a session on one machine names none (tests) a temporary folder is made, one for each application; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="sedge-shared-")
