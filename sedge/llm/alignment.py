@@ -24,7 +24,7 @@ from sedge.llm.tokencount import _begins, default_model
 from sedge.session import stored
 
 #: Entries of the table of pieces; bytes aligned at a time; links of a group that are written out one by one; pairs broadcast; rows of a batch.
-KEPT, CHUNK, SMALL, HOT, BATCH = 300_000, 1_500_000, 4096, 100_000, 1 << 16
+KEPT, CHUNK, SMALL, HOT, BATCH = 100_000, 500_000, 4096, 100_000, 1 << 16
 #: Bits of a token id in a key.
 BITS = 20
 _ROWS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, b int, times long"
