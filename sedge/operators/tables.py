@@ -8,6 +8,15 @@ from sedge.operators.ordered import first_wins
 from sedge.session import stored
 
 
+#: Rows of a large table that one task takes at a time, at most, where keys allow.
+ROWS = 500_000
+
+
+def parts_for(rows: DataFrame, each: int | None = None) -> int:
+    """Partitions for as many rows, of `each` (ROWS) or fewer: a task's memory stays what it is when the table grows, whatever the session's settings are."""
+    return 1 + rows.count() // (each or ROWS)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: list[str], order: list) -> DataFrame:
     """old with new's rows in place of those with their key; the last of new's rows in `order` wins."""
     last = first_wins(new, key, order)
