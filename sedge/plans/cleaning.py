@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window
 
 from sedge.functions import cleaning as L, text as T
-from sedge.operators import estimators as E, ordered as O
+from sedge.operators import estimators as E, ordered as O, tables as K
 from sedge.sources import table as t
 
 QUERIES, SQL = {}, {}
@@ -155,10 +155,12 @@ def migration_check(s, d):
 @query("""WITH e AS (SELECT l_suppkey AS source, l_orderkey AS rule FROM lineitem), k AS (SELECT * FROM e WHERE source % 10 <> 3) SELECT o_orderkey, (SELECT count(DISTINCT source) FROM k WHERE rule = o_orderkey) AS sources FROM orders WHERE o_orderkey IN (SELECT rule FROM k) OR o_orderkey NOT IN (SELECT rule FROM e)""")
 def retracted_sources(s, d):
     """Evidence of withdrawn sources goes, and with it the rules that had no other; rules that never had any stay."""
-    e = t(s, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("o_orderkey"))
-    kept = e.where("source % 10 <> 3").groupBy("o_orderkey").agg(F.count_distinct("source").alias("sources"))
-    bare = t(s, d, "orders").select("o_orderkey").join(e, "o_orderkey", "left_anti").withColumn("sources", F.lit(0).cast("long"))
-    return t(s, d, "orders").select("o_orderkey").join(kept, "o_orderkey").unionByName(bare)
+    e = t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey")).alias("source"))
+    n = K.parts_for(e)
+    each = e.repartition(n, "o_orderkey").groupBy("o_orderkey", "source").agg(F.lit(True).alias("had"))
+    kept = each.groupBy("o_orderkey").agg(F.count("source").alias("sources"))  # of an order's rows in one partition; 0 where all are withdrawn
+    met = t(s, d, "orders").select("o_orderkey").repartition(n, "o_orderkey").join(kept, "o_orderkey", "left")
+    return met.where("sources is null or sources > 0").select("o_orderkey", F.coalesce("sources", F.lit(0).cast("long")).alias("sources"))
 
 
 @query("""SELECT l_partkey, l_returnflag, l_linestatus, count(*) AS n, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS spans FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1""")

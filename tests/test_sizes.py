@@ -33,7 +33,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name, keys", [("shared_elements", "part#")])
+@pytest.mark.parametrize("name, keys", [("shared_elements", "part#"), ("retracted_sources", "o_orderkey#")])
 def test_parts_follow_rows(spark, tmp_path, monkeypatch, name, keys):
     monkeypatch.setattr(K, "ROWS", 10, raising=False)
     lines(spark, str(tmp_path), [(i * 5 % 33, i * 7 % 6, i * i % 20) for i in range(120)], [(i, i % 2) for i in range(20)])
@@ -49,3 +49,9 @@ def test_shared_elements_meets_what_is_shared(spark, tmp_path):
     assert [(r.a, r.b, r.shared) for r in agrees(spark, "shared_elements", str(tmp_path)).itertuples()] == [(5, 7, 1)]
     p = plan(catalogue.QUERIES["shared_elements"](spark, str(tmp_path)))
     assert "array_intersect" not in p and any("Join" in x and "part#" in x for x in p.split("\n"))
+
+
+def test_withdrawn_and_missing_sources(spark, tmp_path):
+    lines(spark, str(tmp_path), [(1, 1, 3), (1, 2, 13), (2, 1, 3), (2, 1, 4), (2, 2, 4), (3, 1, None), (6, 9, 5)])
+    got = agrees(spark, "retracted_sources", str(tmp_path))
+    assert sorted(zip(got["o_orderkey"], got["sources"])) == [(2, 1), (6, 1), (999, 0)]
