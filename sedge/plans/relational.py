@@ -302,9 +302,12 @@ def representative_mean(s, d):
 
 @query("""SELECT p.l_partkey AS a, q.l_partkey AS b, count(*) AS n FROM lineitem p JOIN lineitem q ON p.l_orderkey = q.l_orderkey AND p.l_partkey < q.l_partkey GROUP BY 1, 2 HAVING count(*) > 1""")
 def blocked_pairs(s, d):
-    p = t(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
-    q = t(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
-    return p.join(q, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    x = t(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"))
+    n = K.parts_for(x)
+    p = x.repartition(n, "l_orderkey")
+    pairs = p.join(p.select("l_orderkey", F.col("a").alias("b")), "l_orderkey").where("a < b").select("a", "b")
+    # Hardly any pair comes twice to a task, so they are counted where they meet: an order has some four lines, a line some pairs.
+    return pairs.repartition(4 * n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("""SELECT CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS bucket, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'A') AS a, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1""")

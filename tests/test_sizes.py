@@ -33,7 +33,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name, keys", [("shared_elements", "part#"), ("retracted_sources", "o_orderkey#")])
+@pytest.mark.parametrize("name, keys", [("shared_elements", "part#"), ("blocked_pairs", "a#"), ("retracted_sources", "o_orderkey#")])
 def test_parts_follow_rows(spark, tmp_path, monkeypatch, name, keys):
     monkeypatch.setattr(K, "ROWS", 10, raising=False)
     lines(spark, str(tmp_path), [(i * 5 % 33, i * 7 % 6, i * i % 20) for i in range(120)], [(i, i % 2) for i in range(20)])
