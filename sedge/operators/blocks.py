@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sedge.functions import blocks as B, cleaning as L, text as T
+from sedge.session import stored
 
 
 def _so_far(value: Column) -> Column:
@@ -103,25 +104,32 @@ def repaired(blocks: DataFrame) -> DataFrame:
     rows = F.transform("ts", lambda w, i: F.struct(i.alias("at"), w["token"].alias("token"), F.lower(w["token"]).alias("form"), w["skeleton"].alias("skeleton"), F.when(i > 0, near(i - 1, "^")).otherwise("^").alias("left"), near(i + 1, "$").alias("right")))
     seen = held.select("scope", "doc", "position", F.inline(rows))
 
-    forms = seen.groupBy("scope", "skeleton", "form").agg(F.count("*").alias("n"))
+    every = stored(seen.groupBy("scope", "skeleton", "form").agg(F.count("*").alias("n")), "forms")
+    marked = F.col("form").rlike(f"(?iu){MARKED}")
+    led = stored(every.where(marked & (F.col("n") >= FORM_LEAST)).select("scope", "skeleton").distinct(), "led")  # other skeletons have no preferred form
+    forms = every.join(led, ["scope", "skeleton"], "left_semi")
     most = forms.groupBy("scope", "skeleton").agg(F.max(F.struct("n", "form")).alias("top"), F.count("*").alias("forms")).where(f"forms > 1 and top.n >= {FORM_LEAST}")
     lead = forms.join(most, ["scope", "skeleton"]).where("form <> top.form").groupBy("scope", "skeleton", "top").agg(F.max("n").alias("next"))
     lead = lead.where((F.col("top.n") >= F.col("next") * FORM_LEAD) & F.col("top.form").rlike(f"(?iu){MARKED}"))
     strong = (F.col("top.n") >= STRONG) & (F.col("top.n") >= F.greatest(F.lit(1), F.col("next")) * STRONG_LEAD)
-    preferred = lead.select("scope", "skeleton", F.col("top.form").alias("preferred"), strong.alias("strong"))
+    preferred = stored(lead.select("scope", "skeleton", F.col("top.form").alias("preferred"), strong.alias("strong")), "preferred")  # its size is known then: a short list is broadcast
 
     told = seen.join(preferred, ["scope", "skeleton"])  # words of skeletons with a preferred form alone
+    # Words between the same neighbours are judged once, in a table of their own; what is judged meets the words at the end.
+    between = stored(told.groupBy("scope", "left", "right", "form", "preferred", "strong").agg(F.count("*").alias("n")), "between")
     counts = {("left", "right"): BOTH, ("left",): 1, ("right",): 1}
-    odd = told.where("form <> preferred")
-    for form in ("form", "preferred"):
+    odd = between.where("form <> preferred").drop("n")
+    for form, of in (("form", between.where("form <> preferred")), ("preferred", between.where("form = preferred"))):
         total = F.lit(0)
         for sides, weight in counts.items():
             keys, name = ["scope", *sides, form], f"_{form}_{'_'.join(sides)}"
-            n = told.groupBy("scope", *sides, "form").agg(F.count("*").alias(name)).withColumnRenamed("form", form)
+            n = of.groupBy("scope", *sides, "form").agg(F.sum("n").alias(name)).withColumnRenamed("form", form)
             odd = odd.join(n, keys, "left")
             total = total + F.coalesce(name, F.lit(0)) * weight
         odd = odd.withColumn(f"in_{form}", total)
-    change = odd.where((F.col("in_preferred") > 0) & ((F.col("in_preferred") > F.col("in_form")) | F.col("strong")))
+    judged = odd.where((F.col("in_preferred") > 0) & ((F.col("in_preferred") > F.col("in_form")) | F.col("strong")))
+    judged = stored(judged.select("scope", "left", "right", "form"), "judged")
+    change = told.where("form <> preferred").join(judged, ["scope", "left", "right", "form"])
     put = change.groupBy("doc", "position").agg(F.map_from_entries(F.collect_list(F.struct("at", L.like_case(F.col("token"), F.col("preferred")).alias("put")))).alias("put"))  # words of one block
     gaps, words = F.split("text", _TOKEN, -1), F.regexp_extract_all("text", F.lit(_TOKEN), 0)
     whole = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("put"), i), F.get(words, i), F.lit(""))))

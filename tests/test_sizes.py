@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sedge.operators import tables as K
+from sedge.operators import blocks, tables as K
 from sedge.plans import catalogue
 from tests.test_queries import rows
 
@@ -60,3 +60,11 @@ def test_withdrawn_and_missing_sources(spark, tmp_path):
 def test_overlap_counts_rows_without_rule(spark, tmp_path):
     lines(spark, str(tmp_path), [(3, 1, 4), (3, 1, None), (3, 2, None), (6, 2, 4), (6, None, 4), (1, 1, 5)])
     assert len(agrees(spark, "overlapping_arrays", str(tmp_path)))
+
+
+def test_repaired_reads_texts_few_times(spark):
+    x = spark.createDataFrame([("de", i, 0, "mit süße Äpfel essen" if i < 8 else "mit susse apfel susse Äpfel essen") for i in range(12)], "scope string, doc long, position long, text string")
+    found = blocks.repaired(x)
+    # The whole texts, and once more the words that may change; before, each of six counts read and moved them again.
+    assert plan(found).count("Scan ExistingRDD") <= 2
+    assert {r.n_repaired for r in found.collect() if r.doc >= 8} == {1}
