@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sedge.functions import grounding as G
 from sedge.operators.ordered import gap_clusters, numbered
 from sedge.operators.retrieval import matching_claims
+from sedge.session import stored
 
 
 def evidence_spans(docs: DataFrame, least: int = G.QUOTE_LEAST, most: int = G.QUOTE_MOST, cut: int = G.QUOTE_CUT) -> DataFrame:
@@ -77,17 +78,18 @@ def grounded_claims(answers: DataFrame, rules: DataFrame, evidence: DataFrame, l
     rule's first source with a quote. Sources are numbered in the order in which an answer's claims cite them, each once. Claims without such
     a rule and source are unresolved, and only those that sources can be sought for stay.
     """
-    each = answers.select("id", F.posexplode(G.claim_sentences(F.col("text"))).alias("place", "claim")).withColumn("key", F.struct("id", "place"))
-    # Equal claims of many answers are matched once.
-    distinct = each.select(F.col("claim").alias("id"), F.col("claim").alias("text")).distinct()
-    best = matching_claims(distinct, rules, least).groupBy("claim_id").agg(F.min_by("rule_id", F.struct(-F.col("score"), "rule_id")).alias("rule_id"))
+    each = stored(answers.select("id", F.posexplode(G.claim_sentences(F.col("text"))).alias("place", "claim")), "answers")  # sentences are judged once, their claims read several times
+    # Equal claims of many answers are matched once, and judged once.
+    distinct = stored(each.select("claim").distinct(), "distinct")
+    best = matching_claims(distinct.select(F.col("claim").alias("id"), F.col("claim").alias("text")), rules, least).groupBy("claim_id").agg(F.min_by("rule_id", F.struct(-F.col("score"), "rule_id")).alias("rule_id"))
     quoted = evidence.where(F.length(F.trim("quote")) > 0).groupBy("rule_id").agg(F.min(F.struct("source_id", "evidence_id")).alias("first"))
     bound = best.join(quoted, "rule_id").select(F.col("claim_id").alias("claim"), "rule_id", "first.*")
-    met = each.join(bound, "claim", "left")
+    judged = distinct.select("claim", (G.claim_kind(F.col("claim")) == "searchable").alias("searchable"))
+    met = each.join(stored(judged.join(bound, "claim", "left"), "bound"), "claim")
     cited = met.where("source_id is not null").groupBy("id", "source_id").agg(F.min("place").alias("first_place"))
     cited = numbered(cited, ["id"], ["first_place", "source_id"], "citation_index").drop("first_place")
     whole = met.join(cited, ["id", "source_id"], "left").withColumn("status", F.when(F.col("source_id").isNull(), "unresolved").otherwise("resolved"))
-    kept = whole.where((F.col("status") == "resolved") | (G.claim_kind(F.col("claim")) == "searchable"))
+    kept = whole.where((F.col("status") == "resolved") | F.col("searchable"))
     return kept.select("id", "place", "claim", "rule_id", "source_id", "evidence_id", "citation_index", "status")
 
 

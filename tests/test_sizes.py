@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sedge.operators import blocks, tables as K
+from sedge.operators import blocks, grounding, tables as K
 from sedge.plans import catalogue
 from tests.test_queries import rows
 
@@ -68,3 +68,13 @@ def test_repaired_reads_texts_few_times(spark):
     # The whole texts, and once more the words that may change; before, each of six counts read and moved them again.
     assert plan(found).count("Scan ExistingRDD") <= 2
     assert {r.n_repaired for r in found.collect() if r.doc >= 8} == {1}
+
+
+def test_grounded_claims_judges_sentences_once(spark):
+    claim = "Sleep may consolidate memory and is associated with later recall of events."
+    answers = spark.createDataFrame([(i, claim) for i in range(3)], "id long, text string")
+    rules = spark.createDataFrame([(1, "Sleep may consolidate memory and is associated with later recall")], "id long, text string")
+    evidence = spark.createDataFrame([(1, 4, 9, "said")], "rule_id long, source_id long, evidence_id long, quote string")
+    found = grounding.grounded_claims(answers, rules, evidence)
+    assert "Scan ExistingRDD" not in plan(found) and "rlike" not in plan(found).lower()  # claims have been judged when they are bound
+    assert sorted((r.id, r.claim, r.source_id, r.citation_index, r.status) for r in found.collect()) == [(i, claim, 4, 1, "resolved") for i in range(3)]
