@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,16 +48,28 @@ def shared_folder(spark: SparkSession) -> str:
     return _made[app]
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Within it Spark deletes the shuffle files of a query when the query ends, not when its plan is collected as garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by stored(), through Spark's own file system layer."""
     path = getattr(df, "stored_at", None)

@@ -395,6 +395,23 @@ def test_lm(spark, docs, none):
         assert np.array_equal(lm.word_hashes(LONG.encode(), 1000 * block), lm.word_hashes(LONG.encode())) and np.array_equal(lm.word_hashes(b" ab  c\n", block), lm.word_hashes(b"ab c"))
 
 
+def test_lm_in_parts(spark, monkeypatch):
+    """Whatever is in the table and however many parts there are, rows are the same; no part leaves its shuffle files on disk."""
+    rng = np.random.default_rng(18)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "saw", "a", "dog", "and", f"w{i}"], rng.integers(0, 40)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in re.findall(r"shuffle_\d+_[^,/ )]*", disk.getAllFiles().mkString(","))}
+    for name, value in (("PARTS", 3), ("EACH", 100), ("COMMON", 20), ("SHARE", 2), ("BATCH", 100), ("ROWS", 50)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    before = files()
+    found = lm.scores(docs)
+    assert not files() - before
+    assert collections.Counter((r.doc_id, r.n_words, r.n_seen, None if r.log_score is None else round(r.log_score, 8)) for r in found.collect()) == plain_lm(rows, 3)
+    monkeypatch.setattr(lm, "COMMON", 0)  # an empty table
+    assert collections.Counter((r.doc_id, r.n_words, r.n_seen, None if r.log_score is None else round(r.log_score, 8)) for r in lm.scores(docs).collect()) == plain_lm(rows, 3)
+
+
 def plain_pii(t):
     """The base spans of a text by the contract's own patterns."""
     found = []
